@@ -263,7 +263,7 @@ def fit(docs: list[tuple[str, int]]) -> ToxicityModel:
     x = np.array([model.features(t)[0] for t, _ in docs])
     y = np.array([v for _, v in docs])
     scale = np.maximum(x.std(axis=0), 1e-6) if model.terms else np.ones(3)
-    w, b = logistic(x / scale, y, l2=3e-3)
+    w, b = logistic(x / scale, y, l2=1e-3, balanced=False)
     if model.terms:
         w = np.maximum(w, 0)
         model.weights, model.bias = w / scale, float(b)
