@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import language, toxicity
+from lumenframe.llm import language, quality, toxicity
 from lumenframe.llm.common import fold, table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text: doc_id, held_out, score, predicted."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    got = docs.select("doc_id", quality.scored(F.col("text"), model).alias("score"))
+    return got.select("doc_id", fold("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text: doc_id, held_out, score, predicted and counts of hits."""
     docs = table(spark, sf_dir, "documents")
@@ -28,5 +36,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", fold("doc_id", 3, 1).alias("held_out"), "r.lang_pred", "r.score", "r.accepted", "r.margin")
 
 
-QUERIES = {f.__name__: f for f in (op8_toxicity, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_quality, op8_toxicity, op10_language)}
 ORACLES: dict[str, str] = {}
