@@ -28,7 +28,7 @@ from lumenframe.llm.common import fold
 RESULT_TYPE = "lang_pred string, score double, accepted boolean, margin double"
 WORD = re.compile(r"[^\W\d_]+")
 #: Documents of each language whose text makes its dictionary, and bytes taken of each and in all.
-TRAIN_DOCS, TRAIN_BYTES, DICT_BYTES = 400, 1_500, 96_000
+TRAIN_DOCS, TRAIN_BYTES, DICT_BYTES = 150, 1_500, 96_000
 #: Languages with the most training rows that get a dictionary.
 MOST_LANGUAGES = 400
 
@@ -92,8 +92,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~fold("id", n, held)
     )
-    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).select("lang")
-    rows = rows.join(F.broadcast(most), "lang")
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    # a hash of the id thins each language to a few times the sample before the ranks are given
+    rows = rows.join(F.broadcast(most), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) * F.col("count") <= F.lit(4_000_000 * TRAIN_DOCS))
     # the order holds the text's hash only; the text itself is fetched for the chosen rows
     w = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "h")
     few = (

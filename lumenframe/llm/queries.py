@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import language, quality, toxicity
+from lumenframe.llm import language, packing, quality, sstable, toxicity
 from lumenframe.llm.common import fold, table
+from lumenframe.llm.encoding import read_tokenizer
+
+END_ID = 1
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +26,17 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", fold("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text written as shards and read back: doc_id, start, n_tokens, ids_crc32."""
+    manifest = sstable.write_shards(table(spark, sf_dir, "documents"), read_tokenizer(tokenizer_path("word_bpe_49k.json")), END_ID)
+    return sstable.read_shards(manifest)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 2048 ids."""
+    return packing.pack(table(spark, sf_dir, "documents"), read_tokenizer(tokenizer_path("byte_bpe_50k.json")), END_ID)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text: doc_id, held_out, score, predicted and counts of hits."""
     docs = table(spark, sf_dir, "documents")
@@ -36,5 +56,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", fold("doc_id", 3, 1).alias("held_out"), "r.lang_pred", "r.score", "r.accepted", "r.margin")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op8_toxicity, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_sstable, op6_packing, op8_toxicity, op10_language)}
 ORACLES: dict[str, str] = {}
