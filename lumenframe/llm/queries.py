@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import language, packing, quality, sstable, toxicity
+from lumenframe.llm import language, linededup, packing, quality, sstable, toxicity
 from lumenframe.llm.common import fold, table
 from lumenframe.llm.encoding import read_tokenizer
 
@@ -48,6 +48,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines removed from every document: doc_id, n_lines, n_removed, n_chars and sha256 of what stays."""
+    got = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", F.col("__lf_lines").alias("n_lines"), F.col("__lf_removed").alias("n_removed"), F.char_length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text: doc_id, held_out, lang_pred, score and whether it is accepted."""
     docs = table(spark, sf_dir, "documents")
@@ -56,5 +62,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", fold("doc_id", 3, 1).alias("held_out"), "r.lang_pred", "r.score", "r.accepted", "r.margin")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_sstable, op6_packing, op8_toxicity, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_sstable, op6_packing, op8_toxicity, op9_line_dedup, op10_language)}
 ORACLES: dict[str, str] = {}
