@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import language, linededup, packing, quality, sstable, toxicity
+from lumenframe.llm import language, linededup, packing, quality, simhash, sstable, toxicity
 from lumenframe.llm.common import fold, table
 from lumenframe.llm.encoding import read_tokenizer
 
@@ -32,6 +32,12 @@ def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(manifest)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document: doc_id, fingerprint, component_id."""
+    got = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return got.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 2048 ids."""
     return packing.pack(table(spark, sf_dir, "documents"), read_tokenizer(tokenizer_path("byte_bpe_50k.json")), END_ID)
@@ -62,5 +68,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", fold("doc_id", 3, 1).alias("held_out"), "r.lang_pred", "r.score", "r.accepted", "r.margin")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_sstable, op6_packing, op8_toxicity, op9_line_dedup, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_sstable, op5_simhash, op6_packing, op8_toxicity, op9_line_dedup, op10_language)}
 ORACLES: dict[str, str] = {}
