@@ -11,73 +11,164 @@ from __future__ import annotations
 
 import json
 import os
-import re
-from array import array
 
 import numpy as np
-
-UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\|")
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: White space other than blank, tab and line ends, what may be a special token, and the marks used here.
+UNUSUAL = r"[\x01\x02\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|<\|"
+#: Places in a text where more than one blank or line end comes together.
+RUNS = r"[ \n\t\r]{2}|[\t\r]"
+#: Marks that never join the letter before them, in either pre-tokenizer.
+MARKS = ".,;:!?|"
 #: Units with the white space before them, and without any where the tokenizer drops it.
-WITH_SPACE, WITHOUT_SPACE = r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+", r"[^ \n\t\r]+"
+WITH_SPACE, WITHOUT_SPACE = "with space", "without space"
+PART_BYTES = 4 << 20
 
 
 class UnitEncoder:
-    """ids of texts as little-endian bytes, two for each id where the vocabulary allows."""
+    """ids of texts as little-endian bytes, two for each id where the vocabulary allows.
+
+    Units are cut and numbered by Arrow; a unit is looked up once for each part
+    of a batch, and the ids of all its places are gathered by their positions.
+    """
 
     def __init__(self, tokenizer_json: bytes, unit: str, end_id: int | None = None, keep: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(tokenizer_json)
-        self.units = re.compile(unit).findall
         wide = max(self.tokenizer.get_vocab_size(with_added_tokens=True), (end_id or 0) + 1) > 65536
-        self.code, self.width, self.dtype = ("I", 4, "<u4") if wide else ("H", 2, "<u2")
-        self.end = b"" if end_id is None else self.pack([end_id])
-        self.keep, self.seen = keep, {}
+        self.width, self.dtype = (4, "<u4") if wide else (2, "<u2")
+        self.end = np.array([] if end_id is None else [end_id], dtype=self.dtype).tobytes()
+        self.drops_space, self.keep = unit == WITHOUT_SPACE, keep
         spec = json.loads(tokenizer_json)
         #: ASCII letters may be lowered before: units then repeat more often.
         self.lowers = '"Lowercase"' in json.dumps(spec.get("normalizer"))
         plain = [t for t in spec.get("added_tokens", []) if t["special"] and t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"])]
         self.mark = (plain[-1]["content"], plain[-1]["id"]) if plain else None
+        self.forget()
+
+    def forget(self) -> None:
+        self.seen: dict[str, int] = {}  # number of a unit in the tables below
+        self.flat = np.zeros(1 << 16, dtype=self.dtype)
+        self.start, self.size = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+        self.used = 0
 
-    def pack(self, ids: list[int]) -> bytes:
-        return array(self.code, ids).tobytes()
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
 
-    def _fresh(self, units: list[str]) -> list[bytes]:
-        """Encodes units that weren't met before.
+    def _library(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units in a row, and how many each has.
 
         A special token that no unit holds stands between them, as the library
         cuts there first; one long text costs half of what its pieces cost.
         """
         if self.mark is None:
-            return [self.pack(e.ids) for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
+            ids = [e.ids for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
+            return np.array([i for x in ids for i in x], dtype=self.dtype), np.array([len(x) for x in ids], dtype=np.int64)
         text, mark = self.mark
-        out: list[bytes] = []
+        flat, sizes = [], []
         for k in range(0, len(units), 1000):
-            ids = np.array(self.tokenizer.encode(text.join(units[k : k + 1000]), add_special_tokens=False).ids, dtype=self.dtype)
-            at = np.flatnonzero(ids == mark) * self.width
-            data = ids.tobytes()
-            out += [data[a:b] for a, b in zip([0, *(at + self.width).tolist()], [*at.tolist(), len(data)], strict=True)]
+            ids = self.whole(text.join(units[k : k + 1000]))
+            at = np.flatnonzero(ids == mark)
+            sizes.append(np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1)
+            flat.append(ids[ids != mark])
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _put(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, first = len(keys), len(self.seen)
+        while first + n > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[first : first + n] = self.used + np.cumsum(sizes) - sizes
+        self.size[first : first + n] = sizes
+        self.seen.update(zip(keys, range(first, first + n), strict=True))
+        self.used += len(ids)
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.start[numbers] - ends + size, size) + np.arange(total)], size
+
+    def _text(self, key: str) -> str:
+        """The unit that a key stands for: a blank was cut off before it unless a mark says otherwise."""
+        return key if self.drops_space else key[1:] if key[:1] in ("\x01", "\x02") else key if key[:1] == "\n" else " " + key
+
+    def _numbers(self, keys: list[str]) -> np.ndarray:
+        """Numbers of the units; those not met before are encoded.
+
+        Marks at the end of a word have ids of their own, so a word is encoded
+        once for all the marks that may follow it.
+        """
+        seen = self.seen
+        fresh = [k for k in keys if k not in seen]
+        if fresh:
+            parts, missing = [], {}
+            for k in fresh:
+                core = k.rstrip(MARKS)
+                cut = (core, ("" if self.drops_space else "\x01") + k[len(core) :]) if len(core) < len(k) and core[-1:].isalpha() else None
+                parts.append(cut)
+                for x in cut or (k,):
+                    if x not in seen:
+                        missing[x] = None
+            if missing:
+                self._put(list(missing), *self._library([self._text(k) for k in missing]))
+            pairs = [(k, c) for k, c in zip(fresh, parts, strict=True) if c and k not in seen]
+            if pairs:
+                ids, size = self._gather(np.array([seen[x] for _, c in pairs for x in c], dtype=np.int64))
+                self._put([k for k, _ in pairs], ids, size[::2] + size[1::2])
+        return np.fromiter(map(seen.__getitem__, keys), dtype=np.int64, count=len(keys))
+
+    def _cut(self, texts: pa.Array) -> pa.Array:
+        """Lists of unit keys."""
+        if self.drops_space:
+            return pc.ascii_split_whitespace(pc.ascii_lower(texts) if self.lowers else texts)
+        # white space is single here: cut at every blank, and before every line end
+        return pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("\x01", texts, ""), "\n", " \n"), " ")
+
+    def _cut_runs(self, texts: pa.Array) -> pa.Array:
+        """Lists of unit keys where white space comes in runs: cut between a letter and the run after it."""
+        marked = pc.replace_substring_regex(pc.binary_join_element_wise("\x02", texts, ""), r"([^ \n\t\r\x02])([ \n\t\r])", "\\1\x01\x02\\2")
+        return pc.split_pattern(marked, "\x01")
+
+    def _part(self, texts: pa.Array) -> list[bytes]:
+        if len(self.seen) > self.keep:
+            self.forget()
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, UNUSUAL).to_numpy(zero_copy_only=False)
+        runs = np.zeros(len(texts), dtype=bool) if self.drops_space else pc.match_substring_regex(texts, RUNS).to_numpy(zero_copy_only=False) & ~odd
+        out: list[bytes] = [b""] * len(texts)
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self.whole(texts[i].as_py()).tobytes() + self.end
+        for which, cut in ((~odd & ~runs, self._cut), (runs, self._cut_runs)):
+            at = np.flatnonzero(which)
+            if not len(at):
+                continue
+            lists = cut(texts.take(pa.array(at)))
+            coded = lists.flatten().dictionary_encode()
+            numbers = self._numbers(coded.dictionary.to_pylist())
+            ids, size = self._gather(numbers[coded.indices.to_numpy()])
+            bounds = np.concatenate([[0], np.cumsum(size)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+            data, bounds = ids.tobytes(), (bounds * self.width).tolist()
+            for i, a, b in zip(at.tolist(), bounds, bounds[1:], strict=False):
+                out[i] = data[a:b] + self.end
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts) -> list[bytes]:
         """One value for each text, the end id included; a null counts as empty."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
+            return []
+        part = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // PART_BYTES
+        starts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
         out: list[bytes] = []
-        seen, end = self.seen, self.end
-        for text in texts:
-            if not text:
-                out.append(end)
-            elif UNUSUAL.search(text):
-                out.append(self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids) + end)
-            else:
-                units = self.units(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") if self.lowers else text)
-                fresh = list(set(units).difference(seen))
-                if fresh:
-                    if len(seen) > self.keep:
-                        seen.clear()
-                        fresh = list(set(units))
-                    seen.update(zip(fresh, self._fresh(fresh), strict=True))
-                out.append(b"".join(map(seen.__getitem__, units)) + end)
+        for a, b in zip(starts, [*starts[1:], len(texts)], strict=True):
+            out += self._part(texts.slice(a, b - a).cast(pa.string()))
         return out
 
 

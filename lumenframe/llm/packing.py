@@ -142,9 +142,9 @@ def pack(docs: DataFrame, tokenizer_json: bytes, end_id: int, id_col: str = "doc
 
         for b in batches:
             kind = b.schema.field(0).type
-            for at in range(0, len(b), 256):
-                part = b.slice(at, 256)
-                for doc, value in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
+            for at in range(0, len(b), 2048):
+                part = b.slice(at, 2048)
+                for doc, value in zip(part.column(0).to_pylist(), enc.encode(part.column(1)), strict=True):
                     packer.add(doc, np.frombuffer(value, dtype=enc.dtype).astype("<u4"))
                 if len(packer.rows) > 5_000:
                     yield out()

@@ -246,9 +246,9 @@ def write_shards(docs: DataFrame, tokenizer_json: bytes, end_id: int, id_col: st
         fs, path = filesystem(folder)
         name, temp = f"{path}/shard-{shard:06d}.sst", f"{path}/.part-{shard:06d}-{uuid.uuid4().hex}"
         for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.slice(at, 256)
-                for ident, value in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
+            for at in range(0, len(b), 2048):
+                part = b.slice(at, 2048)
+                for ident, value in zip(part.column(0).to_pylist(), enc.encode(part.column(1)), strict=True):
                     if writer is None:
                         fs.create_dir(path, recursive=True)
                         writer = ShardWriter(fs.open_output_stream(temp), enc.width)
