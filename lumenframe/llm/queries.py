@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import language, linededup, packing, quality, simhash, sstable, toxicity
+from lumenframe.llm import language, linededup, merkle, packing, quality, simhash, sstable, topk, toxicity
 from lumenframe.llm.common import fold, table
 from lumenframe.llm.encoding import read_tokenizer
 
@@ -32,6 +32,17 @@ def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(manifest)
 
 
+def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
+    return merkle.compared(table(spark, sf_dir, "documents"))
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best rows for every vector whose id is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, rows.where("vec_id % 50 = 0"), 5)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document: doc_id, fingerprint, component_id."""
     got = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -68,5 +79,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", fold("doc_id", 3, 1).alias("held_out"), "r.lang_pred", "r.score", "r.accepted", "r.margin")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_sstable, op5_simhash, op6_packing, op8_toxicity, op9_line_dedup, op10_language)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_sstable, op3_merkle, op4_topk, op5_simhash, op6_packing, op8_toxicity, op9_line_dedup, op10_language)}
+ORACLES: dict[str, str] = {
+    "op4_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+        ), ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
+}
