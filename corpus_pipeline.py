@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import language, toxicity
+from lumenframe.llm import language, linededup, packing, simhash, toxicity
 from lumenframe.llm.common import materialize, table
+from lumenframe.llm.encoding import read_tokenizer
+from lumenframe.llm.queries import END_ID, tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +21,28 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return language.reject_unknown(docs, language.train(table(spark, sf_dir, "documents")))
 
 
-STAGES = [("toxicity", drop_toxic), ("language", drop_unknown_language)]
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup (operator 9): repeated and nearly repeated lines go, documents stay."""
+    return linededup.dedup_lines(docs).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash near-dedup (operator 5): one document of each group stays."""
+    return simhash.drop_near_duplicates(docs, words=5)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing (operator 6): the pieces of what is left, in windows."""
+    return packing.pack(docs, read_tokenizer(tokenizer_path("byte_bpe_50k.json")), END_ID)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language", drop_unknown_language),
+    ("line_dedup", drop_repeated_lines),
+    ("simhash", drop_near_copies),
+    ("packing", packed),
+]
 #: The stages learn models, so SQL can't express them; tests hold run() against brute force.
 ORACLE_SQL = None
 
