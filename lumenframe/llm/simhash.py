@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm import nearcopies
 from lumenframe.llm.common import materialize
 from lumenframe.llm.components import components
 
@@ -178,12 +179,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(of_fp, F.col("fp") == F.col("of")).select("id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """id, component_id (the smallest id reachable) for every row; pairs at least ``similarity`` alike link.
+
+    Equal word sequences are one document; the others link by wide fingerprints
+    (see ``nearcopies``).  Documents without a word are equal to each other.
+    """
+    rows, _ = materialize(nearcopies.sketches(docs, id_col, text_col, words), "sketches")
+    reps, _ = materialize(rows.where("id is not null").groupBy("whole").agg(F.min("id").alias("rep"), F.any_value("wide").alias("wide"), F.any_value("keys").alias("keys")), "distinct-texts")
+    pairs, _ = materialize(nearcopies.close_pairs(reps), "close-pairs")
+    roots = components(nearcopies.verified(pairs, docs, id_col, text_col, words, similarity))
+    of, _ = materialize(reps.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("whole").alias("of"), F.coalesce("root", "rep").alias("component_id")), "components")
+    return rows.join(of, F.col("whole") == F.col("of"), "left").select("id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float | None = 0.8, max_bits: int = MAX_BITS) -> DataFrame:
     """Keeps one document of each group, the one with the smallest id; columns stay as they are.
 
+    Groups are those of ``similarity``, or of ``max_bits`` where that is None.
     Of repeated rows with one id a single one stays; rows without an id stay.
     """
-    found, _ = materialize(near_duplicates(docs, id_col, text_col, words, max_bits), "groups")
+    found = near_duplicates(docs, id_col, text_col, words, max_bits) if similarity is None else similar_documents(docs, id_col, text_col, words, similarity)
+    found, _ = materialize(found.select("id", "component_id"), "groups")
     gone = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("__lf_id")).distinct()
     n = gone.count()
     kept = docs.join(F.broadcast(gone) if n <= BROADCAST_ROWS else gone, F.col(id_col) == F.col("__lf_id"), "left_anti")
