@@ -28,7 +28,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup (operator 5): one document of each group stays."""
-    return simhash.drop_near_duplicates(docs, words=5)
+    return simhash.drop_near_duplicates(docs, words=5, similarity=0.8)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
