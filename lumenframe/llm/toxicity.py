@@ -201,7 +201,8 @@ def learn_lexicon(docs: list[tuple[str, int]], most: int = 400, stem_sizes=(4, 5
 
     Each is held against the negatives by a smoothed log ratio; chosen greedily
     by how many positives they add that no chosen term covers yet, so a word
-    that only travels with toxic terms isn't taken.
+    that only travels with toxic terms isn't taken; a term of many positives
+    (one in 20) and no negative always is.
     """
     pos = [t for t, y in docs if y == 1]
     neg = [t for t, y in docs if y == 0]
@@ -242,7 +243,8 @@ def learn_lexicon(docs: list[tuple[str, int]], most: int = 400, stem_sizes=(4, 5
     # the more documents the sooner; of equal ones the longer stem, then the word, so that the term isn't too wide
     for g in sorted(value, key=lambda g: (-len(where[g]), not g.endswith("*"), -len(g), g)):
         new = sum(covered[i] < 4 for i in where[g])
-        if new >= max(min_support, 0.2 * len(where[g])):
+        often = not in_neg[g] and len(where[g]) >= max(min_support, 0.05 * len(pos))  # many positives, no negative: not by chance
+        if new >= max(min_support, 0.2 * len(where[g])) or often:
             stem = g.endswith("*")
             t = g.rstrip("*")
             if any(t.startswith(x) for x, (_, is_stem) in out.items() if is_stem):
@@ -256,7 +258,7 @@ def learn_lexicon(docs: list[tuple[str, int]], most: int = 400, stem_sizes=(4, 5
 
 
 def fit(docs: list[tuple[str, int]]) -> ToxicityModel:
-    """Lexicon from two thirds of the rows, weights from all of them."""
+    """Lexicon and weights from all of the rows."""
     model = ToxicityModel(terms=learn_lexicon(docs))
     if not docs:
         return model
