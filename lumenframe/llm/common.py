@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+BATCH_BYTES = "8m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,8 +55,33 @@ def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(schema).parquet(path), path
 
 
+def trim() -> None:
+    """Gives what a task has freed back to the system, as worker processes outlive tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A task function over batches that trims its process at the end."""
+
+    def whole(batches):
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder; Python workers are told where the driver has found this library."""
+    """A table of the folder.
+
+    Python workers are told where the driver has found this library, and get
+    batches of bounded bytes, as texts may be very long.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

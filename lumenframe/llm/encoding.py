@@ -24,7 +24,8 @@ RUNS = r"[ \n\t\r]{2}|[\t\r]"
 MARKS = ".,;:!?|"
 #: Units with the white space before them, and without any where the tokenizer drops it.
 WITH_SPACE, WITHOUT_SPACE = "with space", "without space"
-PART_BYTES = 4 << 20
+#: Units kept by default, and bytes of text looked at together: small enough to share an executor with other work.
+KEEP_UNITS, PART_BYTES = 250_000, 1 << 20
 
 
 class UnitEncoder:
@@ -34,7 +35,7 @@ class UnitEncoder:
     of a batch, and the ids of all its places are gathered by their positions.
     """
 
-    def __init__(self, tokenizer_json: bytes, unit: str, end_id: int | None = None, keep: int = 1_200_000):
+    def __init__(self, tokenizer_json: bytes, unit: str, end_id: int | None = None, keep: int = KEEP_UNITS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -43,6 +44,7 @@ class UnitEncoder:
         self.width, self.dtype = (4, "<u4") if wide else (2, "<u2")
         self.end = np.array([] if end_id is None else [end_id], dtype=self.dtype).tobytes()
         self.drops_space, self.keep = unit == WITHOUT_SPACE, keep
+        self.part_bytes = PART_BYTES * (4 if keep > 2 * KEEP_UNITS else 1)
         spec = json.loads(tokenizer_json)
         #: ASCII letters may be lowered before: units then repeat more often.
         self.lowers = '"Lowercase"' in json.dumps(spec.get("normalizer"))
@@ -164,7 +166,7 @@ class UnitEncoder:
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not len(texts):
             return []
-        part = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // PART_BYTES
+        part = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // self.part_bytes
         starts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
         out: list[bytes] = []
         for a, b in zip(starts, [*starts[1:], len(texts)], strict=True):
@@ -175,14 +177,14 @@ class UnitEncoder:
 _ENCODERS: dict = {}
 
 
-def encoder(tokenizer_json: bytes, unit: str, end_id: int | None) -> UnitEncoder:
+def encoder(tokenizer_json: bytes, unit: str, end_id: int | None, keep: int = KEEP_UNITS) -> UnitEncoder:
     """One encoder for each worker process, so that what it has seen outlives a task."""
     import zlib
 
-    key = (zlib.crc32(tokenizer_json), len(tokenizer_json), unit, end_id)
+    key = (zlib.crc32(tokenizer_json), len(tokenizer_json), unit, end_id, keep)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = UnitEncoder(tokenizer_json, unit, end_id)
+        _ENCODERS[key] = UnitEncoder(tokenizer_json, unit, end_id, keep)
     return _ENCODERS[key]
 
 

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import fold
+from lumenframe.llm.common import fold, tidy
 
 RESULT_TYPE = "lang_pred string, score double, accepted boolean, margin double"
 WORD = re.compile(r"[^\W\d_]+")
@@ -124,12 +124,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def identified(text: Column, model: LanguageModel) -> Column:
     """Struct column of language, score, margin and whether it is accepted."""
 
-    @F.pandas_udf(RESULT_TYPE)
-    def look(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             rows = [model.classify(None if v is None or v != v else v) for v in s]
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "accepted", "margin"]).astype({"score": "float64", "accepted": "bool", "margin": "float64"})
 
+    @F.pandas_udf(RESULT_TYPE)
+    def look(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from tidy(of)(batches)
+
     return look(text)
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import materialize
+from lumenframe.llm.common import materialize, tidy
 
 BANDS, ROWS, LIST, WIDE_BITS = 16, 4, 512, 60
 _RNG = np.random.default_rng(20)
@@ -85,7 +85,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
                 keys.append(band_keys(hashes).tolist() if len(hashes) else [])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(whole, pa.binary()), pa.array(wide, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "whole", "wide", "keys"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, whole binary, wide binary, keys array<bigint>")
+    return rows.mapInArrow(tidy(run), f"id {rows.schema['id'].dataType.simpleString()}, whole binary, wide binary, keys array<bigint>")
 
 
 def spanning_forest(wide: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -148,7 +148,7 @@ def close_pairs(reps: DataFrame, most: int = WIDE_BITS, list_size: int = LIST) -
         if held is not None and len(held):
             yield pairs(held)
 
-    found = rows.select("g", "rep", "wide").mapInArrow(run, f"a {kind}, b {kind}")
+    found = rows.select("g", "rep", "wide").mapInArrow(tidy(run), f"a {kind}, b {kind}")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
 
 
@@ -163,7 +163,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, word
             sets = [np.unique(shingle_set(normal_words(t.as_py()), words).astype("<u4")).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["id", "s"])
 
-    sets, _ = materialize(texts.mapInArrow(cut, f"id {kind}, s binary").groupBy("id").agg(F.min("s").alias("s")), "shingle-sets")
+    sets, _ = materialize(texts.mapInArrow(tidy(cut), f"id {kind}, s binary").groupBy("id").agg(F.min("s").alias("s")), "shingle-sets")
     with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     both = with_a.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
 
@@ -177,4 +177,4 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, word
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(k).filter(mask) for k in (0, 1)], ["a", "b"])
 
-    return both.mapInArrow(alike, f"a {kind}, b {kind}")
+    return both.mapInArrow(tidy(alike), f"a {kind}, b {kind}")

@@ -29,7 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.encoding import WITH_SPACE, encoder
+from lumenframe.llm.common import tidy
+from lumenframe.llm.encoding import KEEP_UNITS, WITH_SPACE, encoder
 
 CAPACITY, WINDOWS, GRAIN, SLACK = 2048, 32, 512, 32
 
@@ -120,7 +121,7 @@ class Packer:
         return rows
 
 
-def pack(docs: DataFrame, tokenizer_json: bytes, end_id: int, id_col: str = "doc_id", text_col: str = "text", unit: str = WITH_SPACE, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_json: bytes, end_id: int, id_col: str = "doc_id", text_col: str = "text", unit: str = WITH_SPACE, capacity: int = CAPACITY, keep_units: int = KEEP_UNITS) -> DataFrame:
     """One row for each piece, with its window and its place there.
 
     ``sequence_id`` holds the scan partition above bit 40, so ids are unique
@@ -132,7 +133,7 @@ def pack(docs: DataFrame, tokenizer_json: bytes, end_id: int, id_col: str = "doc
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(model.value, unit, end_id)
+        enc = encoder(model.value, unit, end_id, keep_units)
         packer = Packer(TaskContext.get().partitionId() << 40, capacity)
         kind = None
 
@@ -152,4 +153,4 @@ def pack(docs: DataFrame, tokenizer_json: bytes, end_id: int, id_col: str = "doc
         if packer.rows:
             yield out()
 
-    return rows.mapInArrow(run, f"{id_col} {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return rows.mapInArrow(tidy(run), f"{id_col} {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

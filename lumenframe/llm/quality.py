@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import logistic, sampled_labels, sigmoid
+from lumenframe.llm.common import logistic, sampled_labels, sigmoid, tidy
 
 WIDTH, FILTERS, BLOCK = 6, 16, 128  # a chunk is two blocks, so chunks overlap by half
 #: Documents of either class, and chunks of each, that the fit reads.
@@ -205,7 +205,6 @@ def scored(text: Column, model: QualityModel) -> Column:
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series(model.score([None if v is None or v != v else v for v in s]))
+        yield from tidy(lambda rest: (pd.Series(model.score([None if v is None or v != v else v for v in s])) for s in rest))(batches)
 
     return score(text)

@@ -10,6 +10,8 @@ from lumenframe.llm.common import fold, table
 from lumenframe.llm.encoding import read_tokenizer
 
 END_ID = 1
+#: Units that an encoder keeps where nothing else shares the executors.
+ALONE_UNITS = 1_200_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,7 +30,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text written as shards and read back: doc_id, start, n_tokens, ids_crc32."""
-    manifest = sstable.write_shards(table(spark, sf_dir, "documents"), read_tokenizer(tokenizer_path("word_bpe_49k.json")), END_ID)
+    manifest = sstable.write_shards(table(spark, sf_dir, "documents"), read_tokenizer(tokenizer_path("word_bpe_49k.json")), END_ID, keep_units=ALONE_UNITS)
     return sstable.read_shards(manifest)
 
 
@@ -51,7 +53,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 2048 ids."""
-    return packing.pack(table(spark, sf_dir, "documents"), read_tokenizer(tokenizer_path("byte_bpe_50k.json")), END_ID)
+    return packing.pack(table(spark, sf_dir, "documents"), read_tokenizer(tokenizer_path("byte_bpe_50k.json")), END_ID, keep_units=ALONE_UNITS)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

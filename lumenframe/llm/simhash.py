@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm import nearcopies
-from lumenframe.llm.common import materialize
+from lumenframe.llm.common import materialize, tidy
 from lumenframe.llm.components import components
 
 WORDS, MAX_BITS, LIST = 3, 2, 256
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = [fingerprint(t.as_py(), words) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["id", "fp"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(tidy(run), f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
 def with_pivots(reps: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def with_pivots(reps: DataFrame) -> DataFrame:
             table = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in table], pa.binary()), pa.array(table[:, 0], pa.int32()), pa.array(table[:, 1], pa.int32())], ["fp", "rep", "dist", "d0", "d1"])
 
-    return reps.select("fp", "rep").mapInArrow(run, f"fp long, rep {kind}, dist binary, d0 int, d1 int")
+    return reps.select("fp", "rep").mapInArrow(tidy(run), f"fp long, rep {kind}, dist binary, d0 int, d1 int")
 
 
 def bands(max_bits: int) -> list[tuple[int, int]]:
@@ -165,7 +165,7 @@ def links(reps: DataFrame, max_bits: int = MAX_BITS, most: int = LIST) -> DataFr
         if held is not None and len(held):
             yield pairs(held)
 
-    return rows.mapInArrow(run, f"a {kind}, b {kind}").where("a is not null and b is not null and a != b")
+    return rows.mapInArrow(tidy(run), f"a {kind}, b {kind}").where("a is not null and b is not null and a != b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, max_bits: int = MAX_BITS, most: int = LIST) -> DataFrame:

@@ -34,8 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import materialize, scratch
-from lumenframe.llm.encoding import WITHOUT_SPACE, encoder
+from lumenframe.llm.common import materialize, scratch, tidy
+from lumenframe.llm.encoding import KEEP_UNITS, WITHOUT_SPACE, encoder
 
 MAGIC = b"LFSST001"
 FOOTER = struct.Struct("<QQQQQQBB6x8s")  # index at, size, bloom at, size, entries, ids, id width, hashes
@@ -224,7 +224,7 @@ def plain_uri(path: str) -> str:
     return "file://" + path[len("file:") :] if path.startswith("file:/") and not path.startswith("file://") else path
 
 
-def write_shards(docs: DataFrame, tokenizer_json: bytes, end_id: int, id_col: str = "doc_id", text_col: str = "text", unit: str = WITHOUT_SPACE, folder: str | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_json: bytes, end_id: int, id_col: str = "doc_id", text_col: str = "text", unit: str = WITHOUT_SPACE, folder: str | None = None, keep_units: int = KEEP_UNITS) -> DataFrame:
     """Writes the documents' ids as shards in key order; one manifest row for each shard.
 
     One range exchange by (id, hash of the text) orders the documents; each
@@ -241,7 +241,7 @@ def write_shards(docs: DataFrame, tokenizer_json: bytes, end_id: int, id_col: st
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(model.value, unit, end_id)
+        enc = encoder(model.value, unit, end_id, keep_units)
         shard, writer = TaskContext.get().partitionId(), None
         fs, path = filesystem(folder)
         name, temp = f"{path}/shard-{shard:06d}.sst", f"{path}/.part-{shard:06d}-{uuid.uuid4().hex}"
@@ -260,7 +260,7 @@ def write_shards(docs: DataFrame, tokenizer_json: bytes, end_id: int, id_col: st
                 {"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/shard-{shard:06d}.sst"], "entries": [entries], "ids": [ids], "bytes": [size]}
             )
 
-    return materialize(sorted_docs.mapInArrow(write, MANIFEST), "manifest")[0]
+    return materialize(sorted_docs.mapInArrow(tidy(write), MANIFEST), "manifest")[0]
 
 
 def read_shards(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
@@ -295,7 +295,7 @@ def read_shards(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(s, pa.int64()), pa.array(n_, pa.int64()), pa.array(c, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-    return based.repartitionByRange(n, "shard").mapInArrow(read, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
+    return based.repartitionByRange(n, "shard").mapInArrow(tidy(read), f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(manifest_row_path: str, ident) -> list[np.ndarray]:

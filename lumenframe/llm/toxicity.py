@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import logistic, sampled_labels, sigmoid
+from lumenframe.llm.common import logistic, sampled_labels, sigmoid, tidy
 
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 QUOTES = "\"“”„«»‘’‹›"
@@ -145,6 +145,9 @@ class ToxicityModel:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("_automaton", "_seen")} | {"_automaton": None, "_seen": {}}
 
+    def forget(self) -> None:
+        self._automaton, self._seen = None, {}
+
     def look(self, words: set[str]) -> dict[str, tuple[str, int]]:
         """The words that match a term; results are kept between documents."""
         if self._automaton is None:
@@ -290,8 +293,8 @@ def scored(text: Column, model: ToxicityModel) -> Column:
 
     @F.pandas_udf(SCORE_TYPE)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            yield model.score([None if v is None or v != v else v for v in s])
+        yield from tidy(lambda rest: (model.score([None if v is None or v != v else v for v in s]) for s in rest))(batches)
+        model.forget()
 
     return score(text)
 
