@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import materialize
 
 MIN_CHARS = 16
-#: Rows of a few numbers each that may be broadcast once counted; beyond it, a shuffled join.
-BROADCAST_ROWS = 1_000_000
+#: A side whose size, counted beforehand, is at most this is broadcast; beyond it, joins are shuffled.
+BROADCAST_BYTES = 24 << 20
+#: Bytes of a row of numbers, and of each removed line of a document.
+ROW_BYTES, ENTRY_BYTES = 72, 24
 BLANKS = " \t\r\x0b\x0c"
 
 
@@ -72,8 +74,8 @@ def half_keys() -> list[Column]:
     return out
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int, entries: int = 0) -> DataFrame:
+    return F.broadcast(df) if rows * ROW_BYTES + entries * ENTRY_BYTES <= BROADCAST_BYTES else df
 
 
 def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -170,7 +172,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, max_edits: int = 1) -> DataFrame:
     """``docs`` with the kept lines as text, and __lf_lines, __lf_removed: counts of lines."""
     gone, _ = materialize(removed_lines(docs, id_col, text_col, min_chars, max_edits), "lines-gone")
-    joined = docs.join(small(gone, gone.count()), F.col(id_col).eqNullSafe(F.col("__lf_id")), "left")
+    held = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("__lf_gone")), F.lit(0))).first()
+    joined = docs.join(small(gone, *held), F.col(id_col).eqNullSafe(F.col("__lf_id")), "left")
 
     def kept(parts: Column) -> Column:
         def without(nos: Column) -> Column:
