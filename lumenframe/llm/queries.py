@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import language, linededup, merkle, packing, quality, simhash, sstable, topk, toxicity
+from lumenframe.llm import language, linededup, merkle, packing, pieces, quality, simhash, sstable, topk, toxicity
 from lumenframe.llm.common import fold, table
 from lumenframe.llm.encoding import read_tokenizer
 
@@ -56,6 +56,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), read_tokenizer(tokenizer_path("byte_bpe_50k.json")), END_ID, keep_units=ALONE_UNITS)
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every whole text, decoded again: doc_id, n_tokens, ids_crc32, decoded_sha256, round_trip."""
+    model = read_tokenizer(tokenizer_path("piece_bpe_32k.model"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    got = pieces.decoded(pieces.encoded(docs, model, carry=("text_sha256",)), model)
+    got = pieces.digests(got).withColumn("decoded_sha256", F.sha2("decoded", 256))
+    return got.select("doc_id", "n_tokens", "ids_crc32", "decoded_sha256", (F.col("decoded_sha256") == F.col("text_sha256")).alias("round_trip"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text: doc_id, held_out, score, predicted and counts of hits."""
     docs = table(spark, sf_dir, "documents")
@@ -81,7 +90,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", fold("doc_id", 3, 1).alias("held_out"), "r.lang_pred", "r.score", "r.accepted", "r.margin")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_sstable, op3_merkle, op4_topk, op5_simhash, op6_packing, op8_toxicity, op9_line_dedup, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_sstable, op3_merkle, op4_topk, op5_simhash, op6_packing, op7_pieces, op8_toxicity, op9_line_dedup, op10_language)}
 ORACLES: dict[str, str] = {
     "op4_topk": """
         WITH v AS (
