@@ -12,7 +12,7 @@ NULLS = "(SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_na
 
 R.sql("agg_global", "SELECT count(*) AS n, round(sum(l_quantity), 2) AS q, round(avg(l_discount), 6) AS d, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship FROM lineitem")
 R.sql("agg_global_empty", "SELECT count(*) AS n, sum(l_quantity) AS q, max(l_returnflag) AS f FROM lineitem WHERE l_quantity < 0")
-R.sql("agg_group", "SELECT l_returnflag, count(*) AS n, round(sum(l_extendedprice), 1) AS total FROM lineitem GROUP BY l_returnflag")
+R.sql("agg_group", "SELECT l_returnflag, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY l_returnflag")
 R.sql("agg_group_multi", "SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, round(avg(l_quantity), 6) AS q FROM lineitem GROUP BY l_returnflag, l_linestatus, l_linenumber")
 R.sql("agg_group_expr", "SELECT year(o_orderdate) AS y, o_totalprice > 250000 AS big, count(*) AS n FROM orders GROUP BY year(o_orderdate), o_totalprice > 250000")
 R.sql("agg_group_ordinal", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2")

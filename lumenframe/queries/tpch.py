@@ -8,14 +8,14 @@ R = Registry()
 
 R.sql(
     "q1",
-    """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 1) AS sum_base_price,
-              round(sum(l_extendedprice * (1 - l_discount)), 1) AS sum_disc_price, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 1) AS sum_charge,
+    """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
+              round(sum(l_extendedprice * (1 - l_discount)), 4) AS sum_disc_price, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 1) AS sum_charge,
               round(avg(l_quantity), 4) AS avg_qty, round(avg(l_extendedprice), 3) AS avg_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
        FROM lineitem WHERE l_shipdate <= TIMESTAMP_NTZ '2001-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus""",
 )
 R.sql(
     "q3",
-    """SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
+    """SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, o_orderdate FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
        WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP_NTZ '1998-03-15 00:00:00' AND l_shipdate > TIMESTAMP_NTZ '1998-03-15 00:00:00'
        GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10""",
 )
@@ -26,18 +26,18 @@ R.sql(
 )
 R.sql(
     "q5",
-    """SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer, orders, lineitem, supplier, nation, region
+    """SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM customer, orders, lineitem, supplier, nation, region
        WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey
          AND r_name = 'ASIA' AND o_orderdate >= TIMESTAMP_NTZ '1996-01-01 00:00:00' AND o_orderdate < TIMESTAMP_NTZ '1998-01-01 00:00:00' GROUP BY n_name""",
 )
 R.sql(
     "q6",
-    """SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP_NTZ '1996-01-01 00:00:00' AND l_shipdate < TIMESTAMP_NTZ '1997-01-01 00:00:00'
+    """SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP_NTZ '1996-01-01 00:00:00' AND l_shipdate < TIMESTAMP_NTZ '1997-01-01 00:00:00'
          AND l_discount BETWEEN 0.045 AND 0.075 AND l_quantity < 24""",
 )
 R.sql(
     "q7",
-    """SELECT supp_nation, cust_nation, l_year, round(sum(volume), 2) AS revenue FROM (
+    """SELECT supp_nation, cust_nation, l_year, round(sum(volume), 4) AS revenue FROM (
          SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, year(l_shipdate) AS l_year, l_extendedprice * (1 - l_discount) AS volume
          FROM supplier, lineitem, orders, customer, nation n1, nation n2
          WHERE s_suppkey = l_suppkey AND o_orderkey = l_orderkey AND c_custkey = o_custkey AND s_nationkey = n1.n_nationkey AND c_nationkey = n2.n_nationkey
@@ -54,13 +54,13 @@ R.sql(
 )
 R.sql(
     "q9",
-    """SELECT n_name, year(o_orderdate) AS o_year, round(sum(l_extendedprice * (1 - l_discount) - 0.1 * p_retailprice * l_quantity), 2) AS profit
+    """SELECT n_name, year(o_orderdate) AS o_year, round(sum(l_extendedprice * (1 - l_discount) - 0.1 * p_retailprice * l_quantity), 4) AS profit
        FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN nation ON s_nationkey = n_nationkey
        WHERE p_name LIKE '%ring%' GROUP BY n_name, year(o_orderdate)""",
 )
 R.sql(
     "q10",
-    """SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, c_acctbal, n_name FROM customer, orders, lineitem, nation
+    """SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, c_acctbal, n_name FROM customer, orders, lineitem, nation
        WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate >= TIMESTAMP_NTZ '1997-10-01 00:00:00' AND o_orderdate < TIMESTAMP_NTZ '1998-01-01 00:00:00'
          AND l_returnflag = 'R' AND c_nationkey = n_nationkey GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20""",
 )
@@ -82,7 +82,7 @@ R.sql(
 )
 R.sql(
     "q15",
-    """WITH revenue AS (SELECT l_suppkey AS supplier_no, round(sum(l_extendedprice * (1 - l_discount)), 2) AS total_revenue FROM lineitem
+    """WITH revenue AS (SELECT l_suppkey AS supplier_no, round(sum(l_extendedprice * (1 - l_discount)), 4) AS total_revenue FROM lineitem
                        WHERE l_shipdate >= TIMESTAMP_NTZ '1998-01-01 00:00:00' AND l_shipdate < TIMESTAMP_NTZ '1998-04-01 00:00:00' GROUP BY l_suppkey)
        SELECT s_suppkey, s_name, total_revenue FROM supplier JOIN revenue ON s_suppkey = supplier_no WHERE total_revenue = (SELECT max(total_revenue) FROM revenue)""",
 )
@@ -105,7 +105,7 @@ R.sql(
 )
 R.sql(
     "q19",
-    """SELECT round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem, part WHERE p_partkey = l_partkey AND (
+    """SELECT round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM lineitem, part WHERE p_partkey = l_partkey AND (
          (p_brand = 'Brand#12' AND p_type IN ('SMALL', 'PROMO') AND l_quantity BETWEEN 1 AND 21 AND p_size BETWEEN 1 AND 25)
          OR (p_brand = 'Brand#23' AND p_type IN ('MEDIUM', 'LARGE') AND l_quantity BETWEEN 10 AND 40 AND p_size BETWEEN 1 AND 40)
          OR (p_brand = 'Brand#15' AND p_type = 'ECONOMY' AND l_quantity BETWEEN 20 AND 50))""",

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def file_stream(spark: SparkSession, folder: str, schema, kind: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -17,7 +18,7 @@ def file_stream(spark: SparkSession, folder: str, schema, kind: str = "parquet",
 
 def windowed_counts(events: DataFrame, time: str, keys: list[str], every: str, late: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Rows by key and window of event time; rows later than the watermark are left out."""
-    at = F.col(time).cast("timestamp")
+    at = F.col(time).cast(T.TimestampType())
     span = F.window("__at", every, slide) if slide else F.window("__at", every)
     return (
         events.withColumn("__at", at).withWatermark("__at", late).groupBy(span, *keys).agg(F.count("*").alias("n"))
