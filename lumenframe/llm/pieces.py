@@ -66,9 +66,9 @@ class PieceModel:
         self.unknown, self.unknown_score = sp.unk_id(), least - UNKNOWN_PENALTY
         self.whole = spans
 
-    def segment(self, text: str) -> list[int]:
-        """Ids of the best segmentation; ``text`` has marks for blanks."""
-        n = len(text)
+    def segment(self, raw: str) -> list[int]:
+        """Ids of the best segmentation of a unit, with blanks as they are."""
+        text, n = raw.replace(MARK, OWN_MARK).replace(" ", MARK), len(raw)
         best, via = [0.0] + [None] * n, [None] * (n + 1)
         done, unknown = 0, self.unknown_score
         for end, (size, piece, score) in self.automaton.iter(text):
@@ -87,7 +87,7 @@ class PieceModel:
         while at:
             if via[at] is None:
                 at -= 1
-                out += [self.byte_ids.get(b, self.unknown) for b in reversed((MARK if text[at] == OWN_MARK else text[at]).encode("utf-8", "surrogatepass"))]
+                out += [self.byte_ids.get(b, self.unknown) for b in reversed(raw[at].encode("utf-8", "surrogatepass"))]
             else:
                 size, piece = via[at]
                 out.append(piece)
@@ -95,7 +95,7 @@ class PieceModel:
         return out[::-1]
 
     def _unit(self, unit: str) -> bytes:
-        ids = np.array(self.segment(unit.replace(MARK, OWN_MARK).replace(" ", MARK)), dtype="<u4").tobytes()
+        ids = np.array(self.segment(unit), dtype="<u4").tobytes()
         self.seen[unit] = ids
         return ids
 

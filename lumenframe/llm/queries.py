@@ -91,7 +91,41 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_sstable, op3_merkle, op4_topk, op5_simhash, op6_packing, op7_pieces, op8_toxicity, op9_line_dedup, op10_language)}
+_ROOT = """sha256(array_to_string(list_transform(string_split({0}, chr(10) || chr(10)), lambda s:
+    sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ''))), ''))"""
+_LEAVES = "list_distinct(string_split(regexp_replace({0}, '([.,;:!?|]) ', '\\1' || chr(10), 'g'), chr(10)))"
+_LIKE = "CASE WHEN {2} THEN 1.0 ELSE least(2.0 * len(list_intersect({0}, {1})) / (len({0}) + len({1})), 1 - 1.0 / (len({0}) + len({1}) + 1)) END"
 ORACLES: dict[str, str] = {
+    "op3_merkle": f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS next_text, length(text) AS n FROM t),
+        e AS (SELECT *, left(text, n - n // 2) || left(next_text, n // 2) AS edited FROM n),
+        h AS (SELECT *, {_ROOT.format("text")} AS fingerprint, {_ROOT.format("edited")} AS edited_fingerprint,
+                     {_LEAVES.format("text")} AS l, {_LEAVES.format("edited")} AS le, {_LEAVES.format("next_text")} AS ln FROM e)
+        SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint,
+               CAST({_LIKE.format("l", "le", "fingerprint = edited_fingerprint")} AS DOUBLE) AS near_edited,
+               CAST({_LIKE.format("l", "ln", "text = next_text")} AS DOUBLE) AS near_next
+        FROM h
+    """,
+    "op9_line_dedup": f"""
+        WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL),
+        raws AS (SELECT doc_id, unnest(p) AS raw, generate_subscripts(p, 1) - 1 AS no FROM parts),
+        lines AS (SELECT doc_id, no, raw, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM raws),
+        firsts AS (SELECT line, min(ROW(doc_id, no)) AS pos FROM lines WHERE length(line) >= {linededup.MIN_CHARS} GROUP BY line),
+        cut AS (SELECT line, pos, i, left(line, i) || substring(line, i + 2) AS v FROM (SELECT line, pos, unnest(range(length(line))) AS i FROM firsts) AS x),
+        near AS (
+            SELECT a.line FROM cut a JOIN cut b ON a.v = b.v AND a.i = b.i WHERE a.line <> b.line AND b.pos < a.pos
+            UNION SELECT a.line FROM cut a JOIN firsts b ON a.v = b.line WHERE b.pos < a.pos
+            UNION SELECT b.line FROM cut a JOIN firsts b ON a.v = b.line WHERE a.pos < b.pos
+        ),
+        marked AS (
+            SELECT l.doc_id, l.no, l.raw, f.line IS NOT NULL AND (n.line IS NOT NULL OR ROW(l.doc_id, l.no) > f.pos) AS gone
+            FROM lines l LEFT JOIN firsts f ON l.line = f.line LEFT JOIN near n ON l.line = n.line
+        ),
+        kept AS (SELECT doc_id, count(*) AS n_lines, sum(CAST(gone AS INTEGER)) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY no) FILTER (NOT gone), '') AS text FROM marked GROUP BY doc_id)
+        SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed, length(k.text) AS n_chars_kept, sha256(k.text) AS kept_sha256
+        FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+    """,
     "op4_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
