@@ -2,7 +2,7 @@
 
 A document's ids are cut at every ``capacity`` ids; those full pieces are
 windows of their own.  What remains of it is cut into pieces of at most
-``grain`` ids.  Pieces are gathered into bundles of a fixed number of windows'
+``grain`` ids, or of ``fine_grain`` ids towards the end of a bundle.  Pieces are gathered into bundles of a fixed number of windows'
 worth of ids and each bundle is split by largest differencing: every piece
 starts as a partial partition of m windows, the two partial partitions with
 the largest imbalance are merged with opposing order, and so on until one is
@@ -32,32 +32,36 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import tidy
 from lumenframe.llm.encoding import KEEP_UNITS, WITH_SPACE, encoder
 
-CAPACITY, WINDOWS, GRAIN, SLACK = 2048, 32, 512, 32
+CAPACITY, WINDOWS, GRAIN, SLACK = 2048, 64, 700, 4
+#: The last ids of a bundle come in fine pieces, which even out what the coarse ones leave.
+FINE, FINE_GRAIN = 768, 8
 
 
 def differencing(sizes: list[int], m: int) -> list[list[int]]:
     """Splits the items into m groups of near-equal sums; each group lists item numbers."""
     if m == 1 or not sizes:
         return [list(range(len(sizes)))] + [[] for _ in range(m - 1)]
-    heap = []
-    for i, s in enumerate(sizes):
-        heap.append((-s, i, [s] + [0] * (m - 1), [i] + [None] * (m - 1)))
+    # a partial partition lists its windows that hold items, largest first; the others of the m are empty
+    heap = [(-s, i, [(s, i)]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
-    tie = len(sizes)
+    tie, largest_first = len(sizes), lambda t: -t[0]
     while len(heap) > 1:
-        _, _, a, ga = heapq.heappop(heap)
-        _, _, b, gb = heapq.heappop(heap)
-        merged = sorted(
-            ((x + y, p if q is None else q if p is None else (p, q)) for x, y, p, q in zip(a, reversed(b), ga, reversed(gb), strict=True)),
-            key=lambda t: -t[0],
-        )
-        low = merged[-1][0]
-        sums = [s for s, _ in merged]
-        heapq.heappush(heap, (low - sums[0], tie, [s - low for s in sums], [g for _, g in merged]))
+        _, _, a = heapq.heappop(heap)
+        _, _, b = heapq.heappop(heap)
+        alone_a, alone_b = m - len(b), m - len(a)  # windows that meet an empty one
+        if alone_a >= len(a):
+            merged = sorted(a + b, key=largest_first)
+        else:
+            both = [(x + y, (p, q)) for (x, p), (y, q) in zip(a[alone_a:], reversed(b[alone_b:]), strict=True)]
+            merged = sorted(a[:alone_a] + both + b[:alone_b], key=largest_first)
+        low = merged[-1][0] if len(merged) == m else 0
+        if low:
+            merged = [(s - low, g) for s, g in merged]
+        heapq.heappush(heap, (-merged[0][0], tie, merged))
         tie += 1
     out = []
-    for g in heap[0][3]:
-        items, todo = [], [] if g is None else [g]
+    for _, g in heap[0][2]:
+        items, todo = [], [g]
         while todo:
             x = todo.pop()
             if isinstance(x, tuple):
@@ -65,7 +69,7 @@ def differencing(sizes: list[int], m: int) -> list[list[int]]:
             else:
                 items.append(x)
         out.append(sorted(items))
-    return out
+    return out + [[] for _ in range(m - len(out))]
 
 
 def split_bundle(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -81,9 +85,10 @@ def split_bundle(sizes: list[int], capacity: int) -> list[list[int]]:
 class Packer:
     """Gathers pieces and gives finished rows."""
 
-    def __init__(self, first_id: int, capacity: int = CAPACITY, windows: int = WINDOWS, grain: int = GRAIN, slack: int = SLACK):
+    def __init__(self, first_id: int, capacity: int = CAPACITY, windows: int = WINDOWS, grain: int = GRAIN, slack: int = SLACK, fine: int = FINE, fine_grain: int = FINE_GRAIN):
         self.next_id, self.capacity, self.grain = first_id, capacity, min(grain, capacity)
         self.room = windows * (capacity - slack)  # a bundle is filled to this exactly, by a cut
+        self.fine, self.fine_grain = min(fine, self.room - 1), min(fine_grain, capacity)
         self.pieces: list[tuple] = []
         self.total = 0
         self.rows: list[tuple] = []
@@ -100,7 +105,9 @@ class Packer:
             at += self.capacity
         while at < n:
             left = n - at
-            length = min(-(-left // -(-left // self.grain)), self.room - self.total)
+            coarse = self.room - self.fine - self.total  # what the bundle takes before its fine pieces
+            grain = self.grain if coarse > 0 else self.fine_grain
+            length = min(-(-left // -(-left // grain)), coarse if coarse > 0 else self.room - self.total)
             self.pieces.append(self._piece(doc, ids, at, length))
             self.total += length
             at += length
