@@ -43,29 +43,31 @@ class LexiconAutomaton:
     """Union of the Levenshtein automata of the terms, walked along their trie.
 
     ``terms``: term -> (weight, is_stem).  A stem accepts any word that starts
-    with it.  ``edits(term)`` errors (insert, delete, substitute, and a swap of
+    with it; its name may end in a star, so that an equal word can stand beside
+    it.  ``edits(term)`` errors (insert, delete, substitute, and a swap of
     neighbours as two) are allowed, none for short terms.
     """
 
     def __init__(self, terms: dict[str, tuple[float, bool]], min_fuzzy: int = 5, min_fuzzy_stem: int = 8, max_edits: int = 1):
         self.max_edits = max_edits
         self.kids: list[dict[str, int]] = [{}]
-        self.ends: list[tuple[str, int, bool] | None] = [None]  # term, edits allowed, stem
+        self.ends: list[list[tuple[str, int, bool]]] = [[]]  # term, edits allowed, stem
         self.slack: list[int] = [0]  # most edits allowed by a term below the node
         for term, (_, stem) in sorted(terms.items()):
-            allowed = max_edits if len(term) >= (min_fuzzy_stem if stem else min_fuzzy) else 0
+            letters = term.rstrip("*") if stem else term
+            allowed = max_edits if len(letters) >= (min_fuzzy_stem if stem else min_fuzzy) else 0
             node = 0
             self.slack[0] = max(self.slack[0], allowed)
-            for c in term:
+            for c in letters:
                 nxt = self.kids[node].get(c)
                 if nxt is None:
                     nxt = self.kids[node][c] = len(self.kids)
                     self.kids.append({})
-                    self.ends.append(None)
+                    self.ends.append([])
                     self.slack.append(0)
                 node = nxt
                 self.slack[node] = max(self.slack[node], allowed)
-            self.ends[node] = (term, allowed, stem)
+            self.ends[node].append((term, allowed, stem))
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
@@ -91,8 +93,8 @@ class LexiconAutomaton:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
             self.moves.append({})
-            ended = [(e, t) for n, e in key if (x := self.ends[n]) and e <= x[1] for t in (x[0],)]
-            stems = [(e, t) for n, e in key if (x := self.ends[n]) and x[2] and e <= x[1] for t in (x[0],)]
+            ended = [(e, t) for n, e in key for t, allowed, _ in self.ends[n] if e <= allowed]
+            stems = [(e, t) for n, e in key for t, allowed, stem in self.ends[n] if stem and e <= allowed]
             self.final.append((min(ended)[1], min(ended)[0]) if ended else None)
             self.stems.append((min(stems)[1], min(stems)[0]) if stems else None)
         return self.ids[key]
@@ -132,6 +134,7 @@ class LexiconAutomaton:
 @dataclass
 class ToxicityModel:
     terms: dict[str, tuple[float, bool]] = field(default_factory=dict)
+    plain: frozenset = frozenset()  # words of their own that lie within the edits of a term
     weights: np.ndarray = field(default_factory=lambda: np.array([1.0, 1.0, 1.0]))
     bias: float = -4.0
     window: int = 4
@@ -157,7 +160,8 @@ class ToxicityModel:
             seen.clear()
         fresh = words.difference(seen)
         for w in fresh:
-            seen[w] = match(w)
+            m = match(w)
+            seen[w] = None if m and m[1] and w in self.plain else m
         return {w: m for w in words if (m := seen[w]) is not None}
 
     def features(self, text: str | None) -> tuple[np.ndarray, tuple[int, int, int]]:
@@ -205,7 +209,9 @@ def learn_lexicon(docs: list[tuple[str, int]], most: int = 400, stem_sizes=(4, 5
     Each is held against the negatives by a smoothed log ratio; chosen greedily
     by how many positives they add that no chosen term covers yet, so a word
     that only travels with toxic terms isn't taken; a term of many positives
-    (one in 20) and no negative always is.
+    (one in 20) and no negative always is.  The words that stand out
+    behind a chosen stem are terms as well, as a stem of few letters takes no
+    error and a word does.
     """
     pos = [t for t, y in docs if y == 1]
     neg = [t for t, y in docs if y == 0]
@@ -249,22 +255,38 @@ def learn_lexicon(docs: list[tuple[str, int]], most: int = 400, stem_sizes=(4, 5
         often = not in_neg[g] and len(where[g]) >= max(min_support, 0.05 * len(pos))  # many positives, no negative: not by chance
         if new >= max(min_support, 0.2 * len(where[g])) or often:
             stem = g.endswith("*")
-            t = g.rstrip("*")
-            if any(t.startswith(x) for x, (_, is_stem) in out.items() if is_stem):
+            if any(g.rstrip("*").startswith(x.rstrip("*")) for x, (_, is_stem) in out.items() if is_stem):
                 continue
-            out[t] = (value[g], stem)
+            out[g] = (value[g], stem)
             for i in where[g]:
                 covered[i] += 1
         if len(out) >= most:
             break
+    stems = {g.rstrip("*") for g, (_, stem) in out.items() if stem}
+    for w in value:
+        if not w.endswith("*") and any(w[:k] in stems for k in stem_sizes if len(w) > k):
+            out[w] = (value[w], False)
     return out
 
 
+def plain_words(docs: list[tuple[str, int]], terms: dict[str, tuple[float, bool]], min_support: int = 3) -> frozenset:
+    """Words that match a term by errors only, but that negatives hold as often as not: no misspellings."""
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    for t, y in docs:
+        counts[y].update(set(WORD.findall(t.lower())))
+    neg, pos = counts
+    match = LexiconAutomaton(terms).match
+    ratio = sum(y == 0 for _, y in docs) / max(1, sum(y == 1 for _, y in docs))
+    return frozenset(w for w, b in neg.items() if b >= min_support and pos[w] * ratio <= 10 * b and (m := match(w)) and m[1])
+
+
 def fit(docs: list[tuple[str, int]]) -> ToxicityModel:
     """Lexicon and weights from all of the rows."""
     model = ToxicityModel(terms=learn_lexicon(docs))
     if not docs:
         return model
+    if model.terms:
+        model.plain = plain_words(docs, model.terms)
     x = np.array([model.features(t)[0] for t, _ in docs])
     y = np.array([v for _, v in docs])
     scale = np.maximum(x.std(axis=0), 1e-6) if model.terms else np.ones(3)

@@ -404,6 +404,18 @@ def test_toxicity_learns_and_tells_quotation_from_abuse(spark):
     assert max(empty.score(pos[:3]).score) < 0.3 and toxicity.reject_toxic(docs_of(spark, []), model).count() == 0
 
 
+def test_learned_stems_leave_their_words_their_edits():
+    docs = [(prose(i, 20) + (" what an idiot" if i % 2 else " such a loser and losers"), 1) for i in range(60)] + [(prose(i + 1000, 40), 0) for i in range(60)]
+    model = toxicity.fit(docs)
+    assert any(stem and "idiot".startswith(t.rstrip("*")) for t, (_, stem) in model.terms.items())
+    errors = {w[:i] + x + w[j:] for w in ("idiot", "loser") for i in range(len(w) + 1) for x, j in (("", i + 1), ("q", i), ("q", i + 1)) if j <= len(w)}
+    assert set(model.look(errors)) == errors and set(model.look({"idiotic", "idiot", "losers"})) == {"idiotic", "idiot", "losers"}
+    for w in sorted(errors):
+        assert model.score([f"{prose(5000, 4)} {w} {prose(5001, 4)}"]).hits.tolist() == [1], w
+    docs = [(t + (" closer" if i % 4 == 0 and not y else ""), y) for i, (t, y) in enumerate(docs)]
+    assert set(toxicity.fit(docs).look({"closer", "looser"})) == {"looser"}  # a word of its own is no misspelling
+
+
 # 9 line dedup
 
 
