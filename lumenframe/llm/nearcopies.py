@@ -8,7 +8,10 @@ that agree in a band of MinHash values of their shingles (BANDS bands of ROWS
 values: all but 1 in 5000 pairs at 0.8 agree in one).  Within a list of such
 documents a minimum spanning forest over the Hamming distances of 256-bit
 SimHash fingerprints keeps the closest pairs, at most one fewer than there are
-documents; each is verified by the exact similarity of the shingle sets.
+documents; each is verified by the exact similarity of the shingle sets.  As a
+pair that is linked can lie between forest pairs that aren't, every other pair
+of a list whose documents the verified pairs haven't joined is then compared
+exactly too, in the task that holds the list; only links leave it.
 
 A list longer than LIST is divided into blocks, of which each pair meets in one
 task; so no task holds an unbounded list and nothing is capped.
@@ -111,9 +114,8 @@ def spanning_forest(wide: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def close_pairs(reps: DataFrame, most: int = WIDE_BITS, list_size: int = LIST) -> DataFrame:
-    """a, b: the closest pairs of documents that share a band key; ``reps``: rep, wide, keys."""
-    kind = reps.schema["rep"].dataType.simpleString()
+def band_lists(reps: DataFrame, list_size: int = LIST) -> DataFrame:
+    """rep, g: the documents of each list, or block pair of a long list; ``reps``: rep, wide, keys."""
     keys = reps.select("rep", F.explode("keys").alias("key"))
     lists = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = keys.join(lists, "key")
@@ -123,19 +125,19 @@ def close_pairs(reps: DataFrame, most: int = WIDE_BITS, list_size: int = LIST) -
         F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
     )
     rows, _ = materialize(rows.select("rep", F.explode(tasks).alias("g")), "band-lists")
-    rows = rows.join(reps.select("rep", "wide"), "rep").repartition("g").sortWithinPartitions("g", "rep")
+    return rows
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def by_list(rows: DataFrame, run, schema: str) -> DataFrame:
+    """Applies ``run`` (table, bounds of its lists) to whole lists; ``rows``: g and others, sorted by g."""
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
-        def pairs(t: pa.Table) -> pa.RecordBatch:
+        def of(t: pa.Table) -> pa.RecordBatch:
             t = t.combine_chunks()
             g = t.column("g").to_numpy()
-            wide = np.frombuffer(b"".join(t.column("wide").to_pylist()), dtype=np.uint64).reshape(-1, 4)
-            bounds = np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1, [len(g)]]).tolist()
-            got = [(a + x, a + y) for a, b in zip(bounds, bounds[1:], strict=False) if b - a > 1 for x, y in spanning_forest(wide[a:b], most)]
-            rep = t.column("rep")
-            return pa.RecordBatch.from_arrays([rep.take(pa.array([p[k] for p in got], pa.int64())).combine_chunks() for k in (0, 1)], ["a", "b"])
+            return run(t, np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1, [len(g)]]).tolist())
 
         for b in batches:
             t = pa.Table.from_batches([b])
@@ -143,17 +145,86 @@ def close_pairs(reps: DataFrame, most: int = WIDE_BITS, list_size: int = LIST) -
             g = held.column("g").to_numpy()
             cut = int(np.searchsorted(g == g[-1], True)) if g[0] != g[-1] else 0  # the last list may go on
             if cut:
-                yield pairs(held.slice(0, cut))
+                yield of(held.slice(0, cut))
                 held = held.slice(cut)
         if held is not None and len(held):
-            yield pairs(held)
+            yield of(held)
+
+    return rows.mapInArrow(tidy(lists), schema)
+
 
-    found = rows.select("g", "rep", "wide").mapInArrow(tidy(run), f"a {kind}, b {kind}")
+def pairs_of(t: pa.Table, got: list[tuple[int, int]]) -> pa.RecordBatch:
+    rep = t.column("rep")
+    return pa.RecordBatch.from_arrays([rep.take(pa.array([p[k] for p in got], pa.int64())).combine_chunks() for k in (0, 1)], ["a", "b"])
+
+
+def wide_array(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("wide").to_pylist()), dtype=np.uint64).reshape(-1, 4)
+
+
+def ordered(found: DataFrame) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets are at least ``similarity`` alike (shared / all)."""
+def close_pairs(reps: DataFrame, lists: DataFrame, most: int = WIDE_BITS) -> DataFrame:
+    """a, b: the closest pairs of documents in each list."""
+    kind = reps.schema["rep"].dataType.simpleString()
+    rows = lists.join(reps.select("rep", "wide"), "rep").repartition("g").sortWithinPartitions("g", "rep")
+
+    def run(t: pa.Table, bounds: list[int]) -> pa.RecordBatch:
+        wide = wide_array(t)
+        return pairs_of(t, [(a + x, a + y) for a, b in zip(bounds, bounds[1:], strict=False) if b - a > 1 for x, y in spanning_forest(wide[a:b], most)])
+
+    return ordered(by_list(rows.select("g", "rep", "wide"), run, f"a {kind}, b {kind}"))
+
+
+def alike(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
+    shared = len(np.intersect1d(p, q, assume_unique=True))
+    return shared >= similarity * (len(p) + len(q) - shared) - 1e-9
+
+
+def joining_pairs(wide: np.ndarray, sets: list[np.ndarray], parts: list, similarity: float, most: int) -> list[tuple[int, int]]:
+    """Pairs at least ``similarity`` alike that join documents of different ``parts``, enough to join all that are so linked."""
+    number = {c: k for k, c in enumerate(dict.fromkeys(parts))}
+    part = np.array([number[c] for c in parts])
+    size, out = np.array([len(x) for x in sets]), []
+    for i in range(len(sets) - 1):
+        # a set that is too much larger or smaller can't be alike
+        d = np.bitwise_count(wide[i + 1 :] ^ wide[i]).sum(axis=1, dtype=np.int64)
+        fits = np.minimum(size[i + 1 :], size[i]) >= similarity * np.maximum(size[i + 1 :], size[i]) - 1e-9
+        near = np.flatnonzero((part[i + 1 :] != part[i]) & (d <= most) & fits)
+        for j in (near[np.argsort(d[near], kind="stable")] + i + 1).tolist():
+            if part[i] != part[j] and alike(sets[i], sets[j], similarity):
+                part[part == part[j]] = part[i]
+                out.append((i, j))
+    return out
+
+
+def further_pairs(reps: DataFrame, lists: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float, most: int = WIDE_BITS) -> DataFrame:
+    """a, b: links of the lists between documents that ``roots`` (node, root) leaves apart.
+
+    ``sets``: id, s of every document that has a pair within ``most`` bits, as each such has one in the forest.
+    """
+    kind = reps.schema["rep"].dataType.simpleString()
+    parts = sets.select("id").join(roots, F.col("id") == F.col("node"), "left").select(F.col("id").alias("rep"), F.coalesce("root", "id").alias("part"))
+    rows = lists.join(parts, "rep")
+    apart = rows.groupBy("g").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("g")
+    rows, _ = materialize(rows.join(apart, "g"), "lists-apart")
+    held = rows.join(reps.select("rep", "wide"), "rep").join(sets.select(F.col("id").alias("rep"), "s"), "rep").repartition("g").sortWithinPartitions("g", "rep")
+
+    def run(t: pa.Table, bounds: list[int]) -> pa.RecordBatch:
+        wide, part, s = wide_array(t), t.column("part").to_pylist(), t.column("s").combine_chunks()
+        got = []
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            found = [np.frombuffer(s[i].as_buffer(), dtype="<u4") for i in range(a, b)]
+            got += [(a + x, a + y) for x, y in joining_pairs(wide[a:b], found, part[a:b], similarity, most)]
+        return pairs_of(t, got)
+
+    return ordered(by_list(held.select("g", "rep", "wide", "part", "s"), run, f"a {kind}, b {kind}"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The pairs whose shingle sets are at least ``similarity`` alike (shared / all), and id, s (the set) of their documents."""
     kind = pairs.schema["a"].dataType.simpleString()
     wanted = pairs.select(F.col("a").alias("w")).unionAll(pairs.select("b")).distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, F.col("id") == F.col("w"), "left_semi")
@@ -167,14 +238,10 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, word
     with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     both = with_a.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), dtype="<u4") for v in (x, y))
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(shared >= similarity * (len(p) + len(q) - shared) - 1e-9)
+            keep = [alike(*(np.frombuffer(v.as_buffer(), dtype="<u4") for v in (x, y)), similarity) for x, y in zip(b.column(2), b.column(3), strict=True)]
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(k).filter(mask) for k in (0, 1)], ["a", "b"])
 
-    return both.mapInArrow(tidy(alike), f"a {kind}, b {kind}")
+    return both.mapInArrow(tidy(run), f"a {kind}, b {kind}"), sets

@@ -187,8 +187,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     rows, _ = materialize(nearcopies.sketches(docs, id_col, text_col, words), "sketches")
     reps, _ = materialize(rows.where("id is not null").groupBy("whole").agg(F.min("id").alias("rep"), F.any_value("wide").alias("wide"), F.any_value("keys").alias("keys")), "distinct-texts")
-    pairs, _ = materialize(nearcopies.close_pairs(reps), "close-pairs")
-    roots = components(nearcopies.verified(pairs, docs, id_col, text_col, words, similarity))
+    lists = nearcopies.band_lists(reps)
+    pairs, _ = materialize(nearcopies.close_pairs(reps, lists), "close-pairs")
+    links, sets = nearcopies.verified(pairs, docs, id_col, text_col, words, similarity)
+    links, _ = materialize(links, "links")
+    roots = components(links)
+    more, _ = materialize(nearcopies.further_pairs(reps, lists, roots, sets, similarity), "further-links")
+    if more.limit(1).count():
+        roots = components(links.unionAll(more))
     of, _ = materialize(reps.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("whole").alias("of"), F.coalesce("root", "rep").alias("component_id")), "components")
     return rows.join(of, F.col("whole") == F.col("of"), "left").select("id", "component_id")
 

@@ -302,6 +302,19 @@ def test_similar_documents(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in simhash.drop_near_duplicates(twice).collect()) == [(False, 4), (True, 0), (True, 0)]
 
 
+def test_links_between_refuted_pairs(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for f in range(12):
+        base = [f"w{f}x{k}" for k in range(124)]
+        for m in range(30):
+            at = set(rng.choice(124, int(rng.integers(1, 4)), replace=False).tolist())
+            texts.append(" ".join(f"v{f}x{m}x{k}" if k in at else w for k, w in enumerate(base)))
+    sets = [set(nearcopies.shingle_set(nearcopies.normal_words(t), 5).tolist()) for t in texts]
+    want = brute_components(list(range(len(texts))), lambda a, b: a // 30 == b // 30 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9)
+    assert {r.id: r.component_id for r in simhash.similar_documents(docs_of(spark, texts)).collect()} == want
+
+
 def test_spanning_forest_keeps_what_is_connected():
     rng = np.random.default_rng(4)
     wide = rng.integers(0, 2**63, (40, 4), dtype=np.uint64)
