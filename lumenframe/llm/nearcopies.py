@@ -11,7 +11,8 @@ SimHash fingerprints keeps the closest pairs, at most one fewer than there are
 documents; each is verified by the exact similarity of the shingle sets.  As a
 pair that is linked can lie between forest pairs that aren't, every other pair
 of a list whose documents the verified pairs haven't joined is then compared
-exactly too, in the task that holds the list; only links leave it.
+exactly too, in the task that holds the list; only links leave it.  Bits only
+rank pairs; none is left out by them.
 
 A list longer than LIST is divided into blocks, of which each pair meets in one
 task; so no task holds an unbounded list and nothing is capped.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.common import materialize, tidy
 
-BANDS, ROWS, LIST, WIDE_BITS = 16, 4, 512, 60
+BANDS, ROWS, LIST, WIDE_BITS = 16, 4, 512, 256
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -166,14 +167,14 @@ def ordered(found: DataFrame) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
 
 
-def close_pairs(reps: DataFrame, lists: DataFrame, most: int = WIDE_BITS) -> DataFrame:
+def close_pairs(reps: DataFrame, lists: DataFrame) -> DataFrame:
     """a, b: the closest pairs of documents in each list."""
     kind = reps.schema["rep"].dataType.simpleString()
     rows = lists.join(reps.select("rep", "wide"), "rep").repartition("g").sortWithinPartitions("g", "rep")
 
     def run(t: pa.Table, bounds: list[int]) -> pa.RecordBatch:
         wide = wide_array(t)
-        return pairs_of(t, [(a + x, a + y) for a, b in zip(bounds, bounds[1:], strict=False) if b - a > 1 for x, y in spanning_forest(wide[a:b], most)])
+        return pairs_of(t, [(a + x, a + y) for a, b in zip(bounds, bounds[1:], strict=False) if b - a > 1 for x, y in spanning_forest(wide[a:b], WIDE_BITS)])
 
     return ordered(by_list(rows.select("g", "rep", "wide"), run, f"a {kind}, b {kind}"))
 
@@ -183,7 +184,7 @@ def alike(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
     return shared >= similarity * (len(p) + len(q) - shared) - 1e-9
 
 
-def joining_pairs(wide: np.ndarray, sets: list[np.ndarray], parts: list, similarity: float, most: int) -> list[tuple[int, int]]:
+def joining_pairs(wide: np.ndarray, sets: list[np.ndarray], parts: list, similarity: float) -> list[tuple[int, int]]:
     """Pairs at least ``similarity`` alike that join documents of different ``parts``, enough to join all that are so linked."""
     number = {c: k for k, c in enumerate(dict.fromkeys(parts))}
     part = np.array([number[c] for c in parts])
@@ -192,7 +193,7 @@ def joining_pairs(wide: np.ndarray, sets: list[np.ndarray], parts: list, similar
         # a set that is too much larger or smaller can't be alike
         d = np.bitwise_count(wide[i + 1 :] ^ wide[i]).sum(axis=1, dtype=np.int64)
         fits = np.minimum(size[i + 1 :], size[i]) >= similarity * np.maximum(size[i + 1 :], size[i]) - 1e-9
-        near = np.flatnonzero((part[i + 1 :] != part[i]) & (d <= most) & fits)
+        near = np.flatnonzero((part[i + 1 :] != part[i]) & fits)
         for j in (near[np.argsort(d[near], kind="stable")] + i + 1).tolist():
             if part[i] != part[j] and alike(sets[i], sets[j], similarity):
                 part[part == part[j]] = part[i]
@@ -200,10 +201,10 @@ def joining_pairs(wide: np.ndarray, sets: list[np.ndarray], parts: list, similar
     return out
 
 
-def further_pairs(reps: DataFrame, lists: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float, most: int = WIDE_BITS) -> DataFrame:
+def further_pairs(reps: DataFrame, lists: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """a, b: links of the lists between documents that ``roots`` (node, root) leaves apart.
 
-    ``sets``: id, s of every document that has a pair within ``most`` bits, as each such has one in the forest.
+    ``sets``: id, s of every document that shares a list, as each such has a pair in the forest.
     """
     kind = reps.schema["rep"].dataType.simpleString()
     parts = sets.select("id").join(roots, F.col("id") == F.col("node"), "left").select(F.col("id").alias("rep"), F.coalesce("root", "id").alias("part"))
@@ -217,7 +218,7 @@ def further_pairs(reps: DataFrame, lists: DataFrame, roots: DataFrame, sets: Dat
         got = []
         for a, b in zip(bounds, bounds[1:], strict=False):
             found = [np.frombuffer(s[i].as_buffer(), dtype="<u4") for i in range(a, b)]
-            got += [(a + x, a + y) for x, y in joining_pairs(wide[a:b], found, part[a:b], similarity, most)]
+            got += [(a + x, a + y) for x, y in joining_pairs(wide[a:b], found, part[a:b], similarity)]
         return pairs_of(t, got)
 
     return ordered(by_list(held.select("g", "rep", "wide", "part", "s"), run, f"a {kind}, b {kind}"))

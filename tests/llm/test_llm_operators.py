@@ -315,6 +315,17 @@ def test_links_between_refuted_pairs(spark):
     assert {r.id: r.component_id for r in simhash.similar_documents(docs_of(spark, texts)).collect()} == want
 
 
+def test_short_texts_link_at_any_distance(spark):
+    rng, wide = np.random.default_rng(5), lambda t: np.frombuffer(nearcopies.wide_fingerprint(nearcopies.shingle_set(nearcopies.normal_words(t), 5)), dtype=np.uint64)
+    texts = []
+    while len(texts) < 12:
+        w = [f"w{k}" for k in rng.integers(0, 10**6, 9)]
+        if np.bitwise_count(wide(" ".join(w)) ^ wide(" ".join(w[:8]))).sum() > 60:
+            texts += [" ".join(w), " ".join(w[:8])]
+    got = {r.id: r.component_id for r in simhash.similar_documents(docs_of(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(12)}
+
+
 def test_spanning_forest_keeps_what_is_connected():
     rng = np.random.default_rng(4)
     wide = rng.integers(0, 2**63, (40, 4), dtype=np.uint64)
