@@ -154,8 +154,8 @@ def by_list(rows: DataFrame, run, schema: str) -> DataFrame:
     return rows.mapInArrow(tidy(lists), schema)
 
 
-def pairs_of(t: pa.Table, got: list[tuple[int, int]]) -> pa.RecordBatch:
-    rep = t.column("rep")
+def pairs_of(t: pa.Table, got: list[tuple[int, int]], of: str = "rep") -> pa.RecordBatch:
+    rep = t.column(of)
     return pa.RecordBatch.from_arrays([rep.take(pa.array([p[k] for p in got], pa.int64())).combine_chunks() for k in (0, 1)], ["a", "b"])
 
 
@@ -202,7 +202,7 @@ def joining_pairs(wide: np.ndarray, sets: list[np.ndarray], parts: list, similar
 
 
 def further_pairs(reps: DataFrame, lists: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """a, b: links of the lists between documents that ``roots`` (node, root) leaves apart.
+    """a, b: the roots, or documents without one, that further links of the lists join; ``roots``: node, root.
 
     ``sets``: id, s of every document that shares a list, as each such has a pair in the forest.
     """
@@ -219,7 +219,7 @@ def further_pairs(reps: DataFrame, lists: DataFrame, roots: DataFrame, sets: Dat
         for a, b in zip(bounds, bounds[1:], strict=False):
             found = [np.frombuffer(s[i].as_buffer(), dtype="<u4") for i in range(a, b)]
             got += [(a + x, a + y) for x, y in joining_pairs(wide[a:b], found, part[a:b], similarity)]
-        return pairs_of(t, got)
+        return pairs_of(t, got, "part")
 
     return ordered(by_list(held.select("g", "rep", "wide", "part", "s"), run, f"a {kind}, b {kind}"))
 

@@ -32,13 +32,15 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm import nearcopies
 from lumenframe.llm.common import materialize, tidy
-from lumenframe.llm.components import components
+from lumenframe.llm.components import components, few_components
 
 WORDS, MAX_BITS, LIST = 3, 2, 256
 PIVOTS = np.array([xxhash.xxh64_intdigest(b"pivot %d" % i, 42) for i in range(16)], dtype=np.uint64)
 CELL = 3
 #: Rows of one id each that may be broadcast once counted; beyond it, a shuffled join.
 BROADCAST_ROWS = 1_000_000
+#: Edges that are joined in the driver once counted; beyond it, by stars.
+FEW_EDGES = 20_000
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -193,8 +195,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     links, _ = materialize(links, "links")
     roots = components(links)
     more, _ = materialize(nearcopies.further_pairs(reps, lists, roots, sets, similarity), "further-links")
-    if more.limit(1).count():
-        roots = components(links.unionAll(more))
+    if n := more.count():
+        now = few_components(more) if n <= FEW_EDGES else components(more)
+        now, _ = materialize(now.select(F.col("node").alias("was"), F.col("root").alias("now")), "joined-roots")
+        roots = (
+            roots.join(now, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root"))
+            .unionAll(now.join(roots, F.col("was") == F.col("node"), "left_anti"))
+        )
     of, _ = materialize(reps.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("whole").alias("of"), F.coalesce("root", "rep").alias("component_id")), "components")
     return rows.join(of, F.col("whole") == F.col("of"), "left").select("id", "component_id")
 

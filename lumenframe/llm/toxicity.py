@@ -269,15 +269,15 @@ def learn_lexicon(docs: list[tuple[str, int]], most: int = 400, stem_sizes=(4, 5
     return out
 
 
-def plain_words(docs: list[tuple[str, int]], terms: dict[str, tuple[float, bool]], min_support: int = 3) -> frozenset:
+def plain_words(docs: list[tuple[str, int]], model: ToxicityModel, min_support: int = 3) -> frozenset:
     """Words that match a term by errors only, but that negatives hold as often as not: no misspellings."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     for t, y in docs:
-        counts[y].update(set(WORD.findall(t.lower())))
+        counts[y].update(w for w, m in model.look(set(WORD.findall(t.lower()))).items() if m[1])
+    model.forget()
     neg, pos = counts
-    match = LexiconAutomaton(terms).match
     ratio = sum(y == 0 for _, y in docs) / max(1, sum(y == 1 for _, y in docs))
-    return frozenset(w for w, b in neg.items() if b >= min_support and pos[w] * ratio <= 10 * b and (m := match(w)) and m[1])
+    return frozenset(w for w, b in neg.items() if b >= min_support and pos[w] * ratio <= 10 * b)
 
 
 def fit(docs: list[tuple[str, int]]) -> ToxicityModel:
@@ -286,7 +286,7 @@ def fit(docs: list[tuple[str, int]]) -> ToxicityModel:
     if not docs:
         return model
     if model.terms:
-        model.plain = plain_words(docs, model.terms)
+        model.plain = plain_words(docs, model)
     x = np.array([model.features(t)[0] for t, _ in docs])
     y = np.array([v for _, v in docs])
     scale = np.maximum(x.std(axis=0), 1e-6) if model.terms else np.ones(3)
@@ -296,6 +296,7 @@ def fit(docs: list[tuple[str, int]]) -> ToxicityModel:
         model.weights, model.bias = w / scale, float(b)
     else:
         model.weights, model.bias = np.zeros(3), -4.0
+    model.forget()
     return model
 
 
