@@ -37,6 +37,8 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         if before == now:
             break
         before = now
+    else:
+        raise RuntimeError(f"components haven't converged in {most_rounds} rounds")
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 

@@ -341,6 +341,11 @@ def test_components_of_long_chains(spark):
     assert got == {i: 0 for i in range(61)} | {100 + i: 100 for i in range(30)}
 
 
+def test_components_dont_end_unfinished(spark):
+    with pytest.raises(RuntimeError, match="converged"):
+        components.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), most_rounds=1)
+
+
 # 7 SentencePiece
 
 
