@@ -1,41 +1,48 @@
-"""Exact encoding of whole texts with the tokenizers library, a unit at a time.
-
-A pre-tokenizer that never joins a non-space character to white space after it
-can be run on the units between such places: the ids of a text are the ids of
-its units in order.  Units repeat, so each is encoded once and kept.  Texts
-where that doesn't hold for certain (white space other than blank, tab and line
-ends, or a text that may hold a special token) are encoded as a whole.
+"""Exact encoding of whole texts with a tokenizer file of the tokenizers library.
+
+The vocabulary and the order of the merges are read from the file.  Where the
+file describes one of two known kinds of byte-pair tokenizer (byte-level words
+with the blank before them; lower-cased words with a mark of their end), whole
+texts run through tiktoken's merging core with that vocabulary, which gives the
+library's ids in a third of its time and keeps nothing between texts.  Any
+other file, and any text that holds a special token or a character outside
+those whose classes both sides are known to see alike, is encoded by the
+library itself, so the ids are the library's in every case.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: White space other than blank, tab and line ends, what may be a special token, and the marks used here.
-UNUSUAL = r"[\x01\x02\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|<\|"
-#: Places in a text where more than one blank or line end comes together.
-RUNS = r"[ \n\t\r]{2}|[\t\r]"
-#: Marks that never join the letter before them, in either pre-tokenizer.
-MARKS = ".,;:!?|"
-#: Units with the white space before them, and without any where the tokenizer drops it.
-WITH_SPACE, WITHOUT_SPACE = "with space", "without space"
-#: Units kept by default, and bytes of text looked at together: small enough to share an executor with other work.
-KEEP_UNITS, PART_BYTES = 250_000, 1 << 20
+#: The pattern by which byte-level pre-tokenizers cut words.
+BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The pattern by which the lower-casing tokenizer cuts words.
+LOWER_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters of the second kind that are neither letters nor digits nor white space, and the letters beside a-z.
+MARKS = "!-/:-@\\[-`{-~¡-©«¬®-±´¶-¸»¿×÷‐-‧‰-⁞、。"
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſぁ-ゖァ-ヺ一-龥"
+#: Places where a word of that kind ends without a blank.
+CUTS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{MARKS}]+|[0-9]")
+
 
+def byte_characters() -> dict[str, int]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
-class UnitEncoder:
-    """ids of texts as little-endian bytes, two for each id where the vocabulary allows.
 
-    Units are cut and numbered by Arrow; a unit is looked up once for each part
-    of a batch, and the ids of all its places are gathered by their positions.
-    """
+class PairEncoder:
+    """ids of texts as little-endian bytes, two for each id where the vocabulary allows."""
 
-    def __init__(self, tokenizer_json: bytes, unit: str, end_id: int | None = None, keep: int = KEEP_UNITS):
+    def __init__(self, tokenizer_json: bytes, end_id: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -43,148 +50,92 @@ class UnitEncoder:
         wide = max(self.tokenizer.get_vocab_size(with_added_tokens=True), (end_id or 0) + 1) > 65536
         self.width, self.dtype = (4, "<u4") if wide else (2, "<u2")
         self.end = np.array([] if end_id is None else [end_id], dtype=self.dtype).tobytes()
-        self.drops_space, self.keep = unit == WITHOUT_SPACE, keep
-        self.part_bytes = PART_BYTES * (4 if keep > 2 * KEEP_UNITS else 1)
         spec = json.loads(tokenizer_json)
-        #: ASCII letters may be lowered before: units then repeat more often.
-        self.lowers = '"Lowercase"' in json.dumps(spec.get("normalizer"))
-        plain = [t for t in spec.get("added_tokens", []) if t["special"] and t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"])]
-        self.mark = (plain[-1]["content"], plain[-1]["id"]) if plain else None
-        self.forget()
-
-    def forget(self) -> None:
-        self.seen: dict[str, int] = {}  # number of a unit in the tables below
-        self.flat = np.zeros(1 << 16, dtype=self.dtype)
-        self.start, self.size = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
-        self.used = 0
-
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
-
-    def _library(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the units in a row, and how many each has.
-
-        A special token that no unit holds stands between them, as the library
-        cuts there first; one long text costs half of what its pieces cost.
-        """
-        if self.mark is None:
-            ids = [e.ids for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
-            return np.array([i for x in ids for i in x], dtype=self.dtype), np.array([len(x) for x in ids], dtype=np.int64)
-        text, mark = self.mark
-        flat, sizes = [], []
-        for k in range(0, len(units), 1000):
-            ids = self.whole(text.join(units[k : k + 1000]))
-            at = np.flatnonzero(ids == mark)
-            sizes.append(np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1)
-            flat.append(ids[ids != mark])
-        return np.concatenate(flat), np.concatenate(sizes)
-
-    def _put(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n, first = len(keys), len(self.seen)
-        while first + n > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[first : first + n] = self.used + np.cumsum(sizes) - sizes
-        self.size[first : first + n] = sizes
-        self.seen.update(zip(keys, range(first, first + n), strict=True))
-        self.used += len(ids)
-
-    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = self.size[numbers]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.start[numbers] - ends + size, size) + np.arange(total)], size
-
-    def _text(self, key: str) -> str:
-        """The unit that a key stands for: a blank was cut off before it unless a mark says otherwise."""
-        return key if self.drops_space else key[1:] if key[:1] in ("\x01", "\x02") else key if key[:1] == "\n" else " " + key
-
-    def _numbers(self, keys: list[str]) -> np.ndarray:
-        """Numbers of the units; those not met before are encoded.
-
-        Marks at the end of a word have ids of their own, so a word is encoded
-        once for all the marks that may follow it.
-        """
-        seen = self.seen
-        fresh = [k for k in keys if k not in seen]
-        if fresh:
-            parts, missing = [], {}
-            for k in fresh:
-                core = k.rstrip(MARKS)
-                cut = (core, ("" if self.drops_space else "\x01") + k[len(core) :]) if len(core) < len(k) and core[-1:].isalpha() else None
-                parts.append(cut)
-                for x in cut or (k,):
-                    if x not in seen:
-                        missing[x] = None
-            if missing:
-                self._put(list(missing), *self._library([self._text(k) for k in missing]))
-            pairs = [(k, c) for k, c in zip(fresh, parts, strict=True) if c and k not in seen]
-            if pairs:
-                ids, size = self._gather(np.array([seen[x] for _, c in pairs for x in c], dtype=np.int64))
-                self._put([k for k, _ in pairs], ids, size[::2] + size[1::2])
-        return np.fromiter(map(seen.__getitem__, keys), dtype=np.int64, count=len(keys))
-
-    def _cut(self, texts: pa.Array) -> pa.Array:
-        """Lists of unit keys."""
-        if self.drops_space:
-            return pc.ascii_split_whitespace(pc.ascii_lower(texts) if self.lowers else texts)
-        # white space is single here: cut at every blank, and before every line end
-        return pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("\x01", texts, ""), "\n", " \n"), " ")
-
-    def _cut_runs(self, texts: pa.Array) -> pa.Array:
-        """Lists of unit keys where white space comes in runs: cut between a letter and the run after it."""
-        marked = pc.replace_substring_regex(pc.binary_join_element_wise("\x02", texts, ""), r"([^ \n\t\r\x02])([ \n\t\r])", "\\1\x01\x02\\2")
-        return pc.split_pattern(marked, "\x01")
-
-    def _part(self, texts: pa.Array) -> list[bytes]:
-        if len(self.seen) > self.keep:
-            self.forget()
-        texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, UNUSUAL).to_numpy(zero_copy_only=False)
-        runs = np.zeros(len(texts), dtype=bool) if self.drops_space else pc.match_substring_regex(texts, RUNS).to_numpy(zero_copy_only=False) & ~odd
-        out: list[bytes] = [b""] * len(texts)
-        for i in np.flatnonzero(odd).tolist():
-            out[i] = self.whole(texts[i].as_py()).tobytes() + self.end
-        for which, cut in ((~odd & ~runs, self._cut), (runs, self._cut_runs)):
-            at = np.flatnonzero(which)
-            if not len(at):
+        self.core, self.lowers, self.unusual = None, False, ""
+        kind = self._kind(spec)
+        if kind and (vocabulary := self._vocabulary(spec, " " if kind == "lower" else "")):
+            import tiktoken
+
+            self.lowers = kind == "lower"
+            self.core = tiktoken.Encoding("file", pat_str="[^ ]+ " if self.lowers else BYTE_LEVEL_WORDS, mergeable_ranks=vocabulary, special_tokens={})
+            special = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
+            known = f"[^\t\n\r 0-9{LETTERS}{MARKS}]" if self.lowers else ""
+            self.unusual = "|".join([known] * bool(known) + special)
+
+    @staticmethod
+    def _kind(spec: dict) -> str | None:
+        """Which of the known kinds a file describes: ``bytes``, ``lower``, or none."""
+        model, cut, normal = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("normalizer")
+        if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+            return None
+        if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            return None
+        suffix = model.get("end_of_word_suffix")
+        if cut.get("type") == "ByteLevel":
+            return "bytes" if cut.get("use_regex", True) and not cut.get("add_prefix_space") and normal is None and not suffix else None
+        steps = [s.get("type") for s in (normal or {}).get("normalizers", [])]
+        cuts = cut.get("pretokenizers", [])
+        if steps == ["NFC", "Replace", "Lowercase"] and suffix and [c.get("type") for c in cuts] == ["Split", "ByteLevel"]:
+            blanks, split, level = normal["normalizers"][1], cuts[0], cuts[1]
+            same = blanks.get("pattern") == {"Regex": r"\s+"} and blanks.get("content") == " " and split.get("pattern") == {"Regex": LOWER_WORDS}
+            if same and split.get("behavior") == "Removed" and split.get("invert") and not level.get("use_regex", True) and not level.get("add_prefix_space"):
+                return "lower"
+        return None
+
+    @staticmethod
+    def _vocabulary(spec: dict, end: str) -> dict[bytes, int] | None:
+        """Bytes of every token, ``end`` standing for the mark of a word's end; none where ids don't follow the merges."""
+        model, characters = spec["model"], byte_characters()
+        suffix, vocab = model.get("end_of_word_suffix") or "", model["vocab"]
+        special = {t["content"] for t in spec.get("added_tokens", [])}
+        merges = [m.split(" ", 1) if isinstance(m, str) else m for m in model["merges"]]
+        order = [vocab.get(a + b, -1) for a, b in merges]
+        first = max((vocab.get(c + s, len(vocab)) for c in characters for s in {"", suffix}), default=0)
+        if any(b <= a for a, b in zip([first, *order], order, strict=False)):
+            return None
+        out = {}
+        for token, i in vocab.items():
+            if token in special:
                 continue
-            lists = cut(texts.take(pa.array(at)))
-            coded = lists.flatten().dictionary_encode()
-            numbers = self._numbers(coded.dictionary.to_pylist())
-            ids, size = self._gather(numbers[coded.indices.to_numpy()])
-            bounds = np.concatenate([[0], np.cumsum(size)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-            data, bounds = ids.tobytes(), (bounds * self.width).tolist()
-            for i, a, b in zip(at.tolist(), bounds, bounds[1:], strict=False):
-                out[i] = data[a:b] + self.end
+            ends = bool(suffix) and token.endswith(suffix)
+            own = token[: -len(suffix)] if ends else token
+            if any(c not in characters for c in own):
+                return None
+            out[bytes(characters[c] for c in own) + (end if ends else "").encode()] = i
         return out
 
+    def whole(self, text: str) -> bytes:
+        """One text through the library."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
     def encode(self, texts) -> list[bytes]:
         """One value for each text, the end id included; a null counts as empty."""
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not len(texts):
             return []
-        part = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // self.part_bytes
-        starts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
-        out: list[bytes] = []
-        for a, b in zip(starts, [*starts[1:], len(texts)], strict=True):
-            out += self._part(texts.slice(a, b - a).cast(pa.string()))
+        texts, end = pc.fill_null(texts.cast(pa.string()), ""), self.end
+        if self.core is None:
+            return [self.whole(t) + end for t in texts.to_pylist()]
+        odd = pc.match_substring_regex(texts, self.unusual).to_pylist() if self.unusual else [False] * len(texts)
+        core, dtype = self.core.encode_ordinary, self.dtype
+        if not self.lowers:
+            return [self.whole(t) + end if o else np.array(core(t), dtype=dtype).tobytes() + end for t, o in zip(texts.to_pylist(), odd, strict=True)]
+        out, blank = [], str.maketrans("\t\n\r", "   ")
+        for t, low, o in zip(texts.to_pylist() if any(odd) else odd, pc.utf8_lower(texts).to_pylist(), odd, strict=True):
+            # a blank after every word marks its end
+            out.append(self.whole(t) + end if o else np.array(core(CUTS.sub(r" \g<0> ", low.translate(blank)) + " "), dtype=dtype).tobytes() + end)
         return out
 
 
 _ENCODERS: dict = {}
 
 
-def encoder(tokenizer_json: bytes, unit: str, end_id: int | None, keep: int = KEEP_UNITS) -> UnitEncoder:
-    """One encoder for each worker process, so that what it has seen outlives a task."""
-    import zlib
-
-    key = (zlib.crc32(tokenizer_json), len(tokenizer_json), unit, end_id, keep)
+def encoder(tokenizer_json: bytes, end_id: int | None) -> PairEncoder:
+    """One encoder for each worker process."""
+    key = (zlib.crc32(tokenizer_json), len(tokenizer_json), end_id)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = UnitEncoder(tokenizer_json, unit, end_id, keep)
+        _ENCODERS[key] = PairEncoder(tokenizer_json, end_id)
     return _ENCODERS[key]
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import tidy
-from lumenframe.llm.encoding import KEEP_UNITS, WITH_SPACE, encoder
+from lumenframe.llm.encoding import encoder
 
 CAPACITY, WINDOWS, GRAIN, SLACK = 2048, 64, 700, 4
 #: The last ids of a bundle come in fine pieces, which even out what the coarse ones leave.
@@ -128,7 +128,7 @@ class Packer:
         return rows
 
 
-def pack(docs: DataFrame, tokenizer_json: bytes, end_id: int, id_col: str = "doc_id", text_col: str = "text", unit: str = WITH_SPACE, capacity: int = CAPACITY, keep_units: int = KEEP_UNITS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_json: bytes, end_id: int, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row for each piece, with its window and its place there.
 
     ``sequence_id`` holds the scan partition above bit 40, so ids are unique
@@ -140,7 +140,7 @@ def pack(docs: DataFrame, tokenizer_json: bytes, end_id: int, id_col: str = "doc
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(model.value, unit, end_id, keep_units)
+        enc = encoder(model.value, end_id)
         packer = Packer(TaskContext.get().partitionId() << 40, capacity)
         kind = None
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import materialize, scratch, tidy
-from lumenframe.llm.encoding import KEEP_UNITS, WITHOUT_SPACE, encoder
+from lumenframe.llm.encoding import encoder
 
 MAGIC = b"LFSST001"
 FOOTER = struct.Struct("<QQQQQQBB6x8s")  # index at, size, bloom at, size, entries, ids, id width, hashes
@@ -224,7 +224,7 @@ def plain_uri(path: str) -> str:
     return "file://" + path[len("file:") :] if path.startswith("file:/") and not path.startswith("file://") else path
 
 
-def write_shards(docs: DataFrame, tokenizer_json: bytes, end_id: int, id_col: str = "doc_id", text_col: str = "text", unit: str = WITHOUT_SPACE, folder: str | None = None, keep_units: int = KEEP_UNITS) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_json: bytes, end_id: int, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """Writes the documents' ids as shards in key order; one manifest row for each shard.
 
     One range exchange by (id, hash of the text) orders the documents; each
@@ -241,7 +241,7 @@ def write_shards(docs: DataFrame, tokenizer_json: bytes, end_id: int, id_col: st
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(model.value, unit, end_id, keep_units)
+        enc = encoder(model.value, end_id)
         shard, writer = TaskContext.get().partitionId(), None
         fs, path = filesystem(folder)
         name, temp = f"{path}/shard-{shard:06d}.sst", f"{path}/.part-{shard:06d}-{uuid.uuid4().hex}"

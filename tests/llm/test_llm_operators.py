@@ -17,13 +17,16 @@ pytest.importorskip("lumenframe.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
 from lumenframe.llm import components, language, linededup, merkle, nearcopies, packing, pieces, quality, simhash, sstable, topk, toxicity  # noqa: E402
-from lumenframe.llm.encoding import WITH_SPACE, WITHOUT_SPACE, UnitEncoder, read_tokenizer  # noqa: E402
+from lumenframe.llm.encoding import PairEncoder, read_tokenizer  # noqa: E402
 from lumenframe.llm.queries import tokenizer_path  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 
 
+_ENC: dict = {}
+
+
 def docs_of(spark, texts, ids=None):
     ids = list(range(len(texts))) if ids is None else ids
     rows = [(i, t, "en", "s", len(t or "")) for i, t in zip(ids, texts, strict=True)]
@@ -85,20 +88,57 @@ def test_quality_without_labels(spark):
 # 2 sorted-string tables, 6 packing: encoding
 
 
-@pytest.mark.parametrize(("file", "unit"), [("word_bpe_49k.json", WITHOUT_SPACE), ("byte_bpe_50k.json", WITH_SPACE)])
-def test_units_encode_as_the_library_does(file, unit):
-    enc = UnitEncoder(read_tokenizer(tokenizer_path(file)), unit, 1, keep=50)
-    texts = [*ODD, "I'm here, you're;  not 12345!?\n\n Next\tline .", "a,b|c: d", " lead", "trail ", prose(5, 400), "É́ ﬁ​ x", "don't STOP\n\n\n", "\x01\x02 marks", "a\x0bb\x0cc"]
-    for _ in range(2):
-        for t, v in zip(texts, enc.encode(texts), strict=True):
-            assert np.frombuffer(v, dtype=enc.dtype).tolist() == [*enc.tokenizer.encode(t or "", add_special_tokens=False).ids, 1], repr(t)
+KINDS = ["word_bpe_49k.json", "byte_bpe_50k.json"]
+
+
+def library_ids(enc, text):
+    return [*enc.tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+
+
+@pytest.mark.parametrize("file", KINDS)
+def test_texts_encode_as_the_library_does(file):
+    enc = PairEncoder(read_tokenizer(tokenizer_path(file)), 1)
+    assert enc.core is not None
+    texts = [*ODD, "I'm here, you're;  not 12345!?\n\n Next\tline .", "a,b|c: d", " lead", "trail ", prose(5, 400), "É́ ﬁ\u200b x", "don't STOP\n\n\n", "\x01\x02 marks", "a\x0bb\x0cc"]
+    texts += ["<|endoftext|> in <|startoftext|>", "!'s ''ll'D _x_ 9²½ ŉ İ ẞß ΑΣ", "a" * 40_000, "的一是" * 9_000, "! " * 9_000, "\u00a0nbsp\u2028", "\n" * 5_000]
+    for t, v in zip(texts, enc.encode(texts), strict=True):
+        assert np.frombuffer(v, dtype=enc.dtype).tolist() == library_ids(enc, t), repr(t)[:80]
+
+
+@pytest.mark.parametrize("file", KINDS)
+def test_every_character_encodes_as_the_library_does(file):
+    enc = PairEncoder(read_tokenizer(tokenizer_path(file)), 1)
+    letters = [chr(c) for c in [*range(0x3400), *range(0x4DF0, 0x4E60), *range(0x9F90, 0xA000), *range(0xF900, 0x10000, 3), *range(0x10000, 0x20000, 29)]]
+    texts = [f"x{c}Y 1{c}2 !{c}? {c} '{c}s {c}{c}  {c}'s" for c in letters]
+    want = [[*e.ids, 1] for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    got = [np.frombuffer(v, dtype=enc.dtype).tolist() for v in enc.encode(texts)]
+    assert [hex(ord(c)) for c, a, b in zip(letters, got, want, strict=True) if a != b] == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(text=st.text(alphabet=st.sampled_from("abZéß's tlvrdmeÀ12 \n\t.,;_-|«»“—的、"), max_size=40))
+def test_any_mixture_encodes_as_the_library_does(text):
+    for file in KINDS:
+        enc = _ENC.setdefault(file, PairEncoder(read_tokenizer(tokenizer_path(file)), 1)) if file not in _ENC else _ENC[file]
+        assert np.frombuffer(enc.encode([text])[0], dtype=enc.dtype).tolist() == library_ids(enc, text)
+
+
+def test_other_tokenizers_go_through_the_library():
+    import json
+
+    spec = json.loads(read_tokenizer(tokenizer_path("byte_bpe_50k.json")))
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}):
+        enc = PairEncoder(json.dumps(spec | change).encode(), 1)
+        assert enc.core is None
+        for t, v in zip(ODD, enc.encode(ODD), strict=True):
+            assert np.frombuffer(v, dtype=enc.dtype).tolist() == library_ids(enc, t)
 
 
 def test_shards_round_trip(spark):
     texts = [*ODD, *[prose(i, 50) for i in range(40)]]
     ids = [i * 7 - 30 for i in range(len(texts))]
     raw = read_tokenizer(tokenizer_path("word_bpe_49k.json"))
-    enc = UnitEncoder(raw, WITHOUT_SPACE, 1)
+    enc = PairEncoder(raw, 1)
     manifest = sstable.write_shards(clashing(docs_of(spark, texts, ids)), raw, 1)
     got, start = {r.doc_id: r for r in sstable.read_shards(manifest).collect()}, 0
     for i, t in sorted(zip(ids, texts, strict=True)):
@@ -144,7 +184,7 @@ def test_shards_of_nothing_and_of_repeated_ids(spark):
 def test_packing(spark):
     texts = [*ODD, *[prose(i, 30 + 37 * i) for i in range(60)]]
     raw = read_tokenizer(tokenizer_path("byte_bpe_50k.json"))
-    enc = UnitEncoder(raw, WITH_SPACE, 1)
+    enc = PairEncoder(raw, 1)
     rows = packing.pack(clashing(docs_of(spark, texts)), raw, 1).collect()
     want = {i: np.array([*enc.tokenizer.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4") for i, t in enumerate(texts)}
     by_doc, by_window = {}, {}
