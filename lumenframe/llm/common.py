@@ -11,9 +11,12 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _LOCAL: dict[str, str] = {}
 BATCH_BYTES = "8m"
+#: A side whose bytes, counted beforehand, are at most this is broadcast; beyond it, joins are shuffled.
+BROADCAST_BYTES = 24 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
-        if spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] == "local":  # not local-cluster, whose executors are processes of their own
             _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="lumenframe-")
         else:
             _LOCAL[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
@@ -36,8 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/lumenframe/{tag}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, below one folder for each application."""
+    return f"{shared_dir(spark)}/lumenframe/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application has written between steps.
+
+    Results that haven't been written elsewhere can't be read any more then, so
+    a long-lived session calls this between jobs.
+    """
+    remove(spark, f"{shared_dir(spark)}/lumenframe/{spark.sparkContext.applicationId}")
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -55,6 +67,25 @@ def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(schema).parquet(path), path
 
 
+def _bytes_of(c: Column, kind: T.DataType) -> Column | None:
+    """Bytes that a value of variable length takes; none for others."""
+    if kind.typeName() in ("string", "binary"):
+        return F.octet_length(c)
+    if isinstance(kind, T.ArrayType):
+        return 24 * F.size(c)
+    if isinstance(kind, T.StructType):
+        inner = [x for f in kind if (x := _bytes_of(c[f.name], f.dataType)) is not None]
+        return sum((F.coalesce(x, F.lit(0)) for x in inner), F.lit(0)) if inner else None
+    return None
+
+
+def small(df: DataFrame, row_bytes: int = 72) -> DataFrame:
+    """``df`` marked for broadcast if its rows and the bytes of its text and lists, counted now, are few."""
+    wide = [x for f in df.schema if (x := _bytes_of(F.col(f"`{f.name}`"), f.dataType)) is not None]
+    n, text = df.agg(F.count("*"), sum((F.coalesce(F.sum(w), F.lit(0)) for w in wide), F.lit(0))).first()
+    return F.broadcast(df) if n * row_bytes + text <= BROADCAST_BYTES else df
+
+
 def trim() -> None:
     """Gives what a task has freed back to the system, as worker processes outlive tasks."""
     import pyarrow as pa
@@ -131,13 +162,3 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60, ba
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
-def query(name: str) -> Callable:
-    """Marks a function as a registered query."""
-
-    def mark(f: Callable) -> Callable:
-        f.query_name = name
-        return f
-
-    return mark

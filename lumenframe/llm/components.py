@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import materialize
+from lumenframe.llm.common import materialize, remove
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -15,9 +15,10 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     The minimum of a node's neighbours is pre-aggregated and joined back, so a
     node with very many neighbours is never gathered in one place; such a join
     can be split by the adaptive planner.  Each round is written to the shared
-    folder, which cuts the lineage and outlives a lost executor.
+    folder, which cuts the lineage and outlives a lost executor; what the round
+    before has written is deleted then.
     """
-    e, _ = materialize(
+    e, held = materialize(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct(), "edges"
     )
     before = None
@@ -26,14 +27,16 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("m", "a").alias("m"))
         large = both.where(F.col("b") > F.col("a")).join(low, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large, _ = materialize(large, "large-star")
+        large, between = materialize(large, "large-star")
         # small star: the smaller neighbours and the node itself go to the smallest neighbour
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
         own = large.join(low, F.col("a") == F.col("k"))
         small = own.select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).unionAll(low.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct()
-        small, _ = materialize(small, "small-star")
+        small, path = materialize(small, "small-star")
         now = small.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
-        e = small
+        for old in (held, between):
+            remove(edges.sparkSession, old)
+        e, held = small, path
         if before == now:
             break
         before = now

@@ -31,13 +31,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import materialize
+from lumenframe.llm.common import materialize, small
 
 MIN_CHARS = 16
-#: A side whose size, counted beforehand, is at most this is broadcast; beyond it, joins are shuffled.
-BROADCAST_BYTES = 24 << 20
-#: Bytes of a row of numbers, and of each removed line of a document.
-ROW_BYTES, ENTRY_BYTES = 72, 24
 BLANKS = " \t\r\x0b\x0c"
 
 
@@ -74,10 +70,6 @@ def half_keys() -> list[Column]:
     return out
 
 
-def small(df: DataFrame, rows: int, entries: int = 0) -> DataFrame:
-    return F.broadcast(df) if rows * ROW_BYTES + entries * ENTRY_BYTES <= BROADCAST_BYTES else df
-
-
 def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """h1, h2 of the distinct lines that have an earlier line within one edit."""
     keys = distinct.select(
@@ -101,10 +93,9 @@ def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
         )
     )
     candidates, _ = materialize(candidates, "line-candidates")
-    few = candidates.count()
     texts = (
         lines.select("id", "no", "line", "h1", "h2").alias("l")
-        .join(small(candidates.withColumnsRenamed({"id": "cid", "no": "cno", "h1": "c1", "h2": "c2"}), few), F.col("l.id").eqNullSafe(F.col("cid")) & (F.col("l.no") == F.col("cno")) & (F.col("l.h1") == F.col("c1")) & (F.col("l.h2") == F.col("c2")))
+        .join(small(candidates.withColumnsRenamed({"id": "cid", "no": "cno", "h1": "c1", "h2": "c2"})), F.col("l.id").eqNullSafe(F.col("cid")) & (F.col("l.no") == F.col("cno")) & (F.col("l.h1") == F.col("c1")) & (F.col("l.h2") == F.col("c2")))
         .select("id", "no", "line", "n", "h1", "h2", "swap_back", "swap_front", "cut_back", "cut_front", "base")
         .dropDuplicates(["h1", "h2"])
     )
@@ -163,7 +154,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     marked, _ = materialize(marked.select(F.col("h1").alias("m1"), F.col("h2").alias("m2"), F.struct("id", "no").alias("first_at"), F.coalesce("near", F.lit(False)).alias("near")), "lines-marked")
     gone = (
         lines.select("id", "no", "h1", "h2")
-        .join(small(marked, marked.count()), (F.col("h1") == F.col("m1")) & (F.col("h2") == F.col("m2")))
+        .join(small(marked), (F.col("h1") == F.col("m1")) & (F.col("h2") == F.col("m2")))
         .where(F.col("near") | (F.struct("id", "no") > F.col("first_at")))
     )
     return gone.groupBy(F.col("id").alias("__lf_id")).agg(F.collect_set(F.struct("no", "h1")).alias("__lf_gone"))
@@ -172,8 +163,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, max_edits: int = 1) -> DataFrame:
     """``docs`` with the kept lines as text, and __lf_lines, __lf_removed: counts of lines."""
     gone, _ = materialize(removed_lines(docs, id_col, text_col, min_chars, max_edits), "lines-gone")
-    held = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("__lf_gone")), F.lit(0))).first()
-    joined = docs.join(small(gone, *held), F.col(id_col).eqNullSafe(F.col("__lf_id")), "left")
+    joined = docs.join(small(gone), F.col(id_col).eqNullSafe(F.col("__lf_id")), "left")
 
     def kept(parts: Column) -> Column:
         def without(nos: Column) -> Column:

@@ -1,21 +1,28 @@
-"""Near copies at a given shingle similarity, by wide SimHash fingerprints.
-
-At a similarity of 0.8 two fingerprints differ in a sixth of their bits.  The
-distances of unrelated fingerprints to a pivot spread less than that, so pivot
-distances discard no pair there, and bands of equal fingerprint bits hold
-almost nothing or everything.  Pairs are therefore looked for among documents
-that agree in a band of MinHash values of their shingles (BANDS bands of ROWS
-values: all but 1 in 5000 pairs at 0.8 agree in one).  Within a list of such
-documents a minimum spanning forest over the Hamming distances of 256-bit
-SimHash fingerprints keeps the closest pairs, at most one fewer than there are
-documents; each is verified by the exact similarity of the shingle sets.  As a
-pair that is linked can lie between forest pairs that aren't, every other pair
-of a list whose documents the verified pairs haven't joined is then compared
-exactly too, in the task that holds the list; only links leave it.  Bits only
-rank pairs; none is left out by them.
-
-A list longer than LIST is divided into blocks, of which each pair meets in one
-task; so no task holds an unbounded list and nothing is capped.
+"""Near copies at a given shingle similarity, by SimHash fingerprints and pivot tables.
+
+At a similarity of 0.8 two 256-bit fingerprints differ in a sixth of their bits
+on average, with no bound, so bits may rank pairs but never discard one.
+Pairs are looked for among documents that agree in a band of MinHash values of
+their shingles (BANDS bands of ROWS values: all but 1 in 5000 pairs at 0.8 agree
+in one).
+
+1.  Within a list of such documents a minimum spanning forest over the Hamming
+    distances of the fingerprints names the closest pairs, at most one fewer
+    than there are documents.  A list longer than LIST is dealt into blocks,
+    each with the list's first document, so nothing is repeated.  Each pair is
+    verified by the exact similarity of the shingle sets.
+2.  A link can lie between pairs that have failed.  Every list whose documents
+    the verified pairs haven't joined is looked at again, in whole: pivot
+    tables hold the Hamming distances of its documents' shingle sets, taken as
+    bit vectors, to those of up to PIVOTS documents of the list.  By the
+    triangle inequality a pair whose largest coordinate difference is above what the
+    similarity allows can't be linked, so discarding it loses nothing;
+    survivors between parts not yet joined are verified.  Of a list longer than
+    LIST, documents outside the largest part meet all others block by block;
+    those within it, joined already, don't meet each other.
+
+A document is known by the hash of its word sequence, so repeated ids and
+documents without one do no harm here.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.common import materialize, tidy
 
-BANDS, ROWS, LIST, WIDE_BITS = 16, 4, 512, 256
+BANDS, ROWS, LIST, WIDE_BITS, PIVOTS = 16, 4, 512, 256, 16
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -41,6 +48,10 @@ def normal_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def sequence_hash(found: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(found))
+
+
 def shingle_set(found: list[bytes], words: int) -> np.ndarray:
     """Sorted distinct XXH64 values of the shingles; fewer words are one shingle, none are none."""
     if not found:
@@ -75,21 +86,21 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """id, whole (hash of the word sequence), wide, keys for every row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """id, h (hash of the text), rep (hash of the word sequence), wide, keys for every row."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            whole, wide, keys = [], [], []
-            for t in b.column(1):
+            rep, wide, keys = [], [], []
+            for t in b.column(2):
                 found = normal_words(t.as_py())
                 hashes = shingle_set(found, words)
-                whole.append(xxhash.xxh3_128_digest(b" ".join(found)))
+                rep.append(sequence_hash(found))
                 wide.append(wide_fingerprint(hashes))
                 keys.append(band_keys(hashes).tolist() if len(hashes) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(whole, pa.binary()), pa.array(wide, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "whole", "wide", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rep, pa.binary()), pa.array(wide, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "h", "rep", "wide", "keys"])
 
-    return rows.mapInArrow(tidy(run), f"id {rows.schema['id'].dataType.simpleString()}, whole binary, wide binary, keys array<bigint>")
+    return rows.mapInArrow(tidy(run), f"id {rows.schema['id'].dataType.simpleString()}, h long, rep binary, wide binary, keys array<bigint>")
 
 
 def spanning_forest(wide: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -115,17 +126,11 @@ def spanning_forest(wide: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def band_lists(reps: DataFrame, list_size: int = LIST) -> DataFrame:
-    """rep, g: the documents of each list, or block pair of a long list; ``reps``: rep, wide, keys."""
+def band_lists(reps: DataFrame) -> DataFrame:
+    """key, rep, n, lead: the documents of each list of two at least, its size and its first document; ``reps``: rep, wide, keys."""
     keys = reps.select("rep", F.explode("keys").alias("key"))
-    lists = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = keys.join(lists, "key")
-    blocks = F.ceil(F.col("n") / list_size)
-    own = F.pmod(F.xxhash64("rep"), blocks)
-    tasks = F.when(F.col("n") <= list_size, F.array(F.xxhash64("key"))).otherwise(
-        F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
-    )
-    rows, _ = materialize(rows.select("rep", F.explode(tasks).alias("g")), "band-lists")
+    lists = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where("n > 1")
+    rows, _ = materialize(keys.join(lists, "key"), "band-lists")
     return rows
 
 
@@ -167,16 +172,20 @@ def ordered(found: DataFrame) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
 
 
-def close_pairs(reps: DataFrame, lists: DataFrame) -> DataFrame:
-    """a, b: the closest pairs of documents in each list."""
-    kind = reps.schema["rep"].dataType.simpleString()
-    rows = lists.join(reps.select("rep", "wide"), "rep").repartition("g").sortWithinPartitions("g", "rep")
+def close_pairs(reps: DataFrame, lists: DataFrame, list_size: int = LIST) -> DataFrame:
+    """a, b: the closest pairs of documents in each list, or in each block of a long list."""
+    blocks, long = F.ceil(F.col("n") / list_size), F.col("n") > list_size
+    own = lambda c: F.pmod(F.xxhash64(c), blocks)
+    dealt = lists.select("rep", F.when(long, F.xxhash64("key", own("rep"))).otherwise(F.xxhash64("key")).alias("g"))
+    leads = lists.where(long & (F.col("rep") == F.col("lead"))).select("key", "rep", own("rep").alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j"))
+    dealt = dealt.unionAll(leads.where("own != j").select("rep", F.xxhash64("key", "j").alias("g")))
+    rows = dealt.join(reps.select("rep", "wide"), "rep").repartition("g").sortWithinPartitions("g", "rep")
 
     def run(t: pa.Table, bounds: list[int]) -> pa.RecordBatch:
         wide = wide_array(t)
         return pairs_of(t, [(a + x, a + y) for a, b in zip(bounds, bounds[1:], strict=False) if b - a > 1 for x, y in spanning_forest(wide[a:b], WIDE_BITS)])
 
-    return ordered(by_list(rows.select("g", "rep", "wide"), run, f"a {kind}, b {kind}"))
+    return ordered(by_list(rows.select("g", "rep", "wide"), run, "a binary, b binary"))
 
 
 def alike(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
@@ -184,34 +193,66 @@ def alike(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
     return shared >= similarity * (len(p) + len(q) - shared) - 1e-9
 
 
+def pivot_table(sets: list[np.ndarray], pivots: list[int]) -> np.ndarray:
+    """Hamming distances of the sets, as bit vectors, to the sets of the pivots and to the empty one."""
+    size = np.array([len(x) for x in sets])
+    flat, ends = np.concatenate(sets), np.cumsum(size)
+    out = [size]
+    for p in pivots:
+        own = sets[p]
+        at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        shared = np.concatenate([[0], np.cumsum(own[at] == flat)])
+        out.append(size + len(own) - 2 * (shared[ends] - shared[ends - size]))
+    return np.stack(out, axis=1)
+
+
 def joining_pairs(wide: np.ndarray, sets: list[np.ndarray], parts: list, similarity: float) -> list[tuple[int, int]]:
-    """Pairs at least ``similarity`` alike that join documents of different ``parts``, enough to join all that are so linked."""
+    """Pairs at least ``similarity`` alike that join documents of different ``parts``, enough to join all that are so linked.
+
+    The sets are not empty.  Of two sets with n and m members that are alike,
+    at most (1 - s) / (1 + s) * (n + m) members are in one only.
+    """
     number = {c: k for k, c in enumerate(dict.fromkeys(parts))}
     part = np.array([number[c] for c in parts])
-    size, out = np.array([len(x) for x in sets]), []
+    size, out, most = np.array([len(x) for x in sets]), [], (1 - similarity) / (1 + similarity)
+    # one document of each part, then others, stand as pivots; a few documents need none but the empty set
+    first = list(dict.fromkeys([*np.unique(part, return_index=True)[1].tolist(), *range(len(sets))])) if len(sets) > 4 else []
+    table = pivot_table(sets, first[:PIVOTS])
     for i in range(len(sets) - 1):
-        # a set that is too much larger or smaller can't be alike
-        d = np.bitwise_count(wide[i + 1 :] ^ wide[i]).sum(axis=1, dtype=np.int64)
-        fits = np.minimum(size[i + 1 :], size[i]) >= similarity * np.maximum(size[i + 1 :], size[i]) - 1e-9
-        near = np.flatnonzero((part[i + 1 :] != part[i]) & fits)
-        for j in (near[np.argsort(d[near], kind="stable")] + i + 1).tolist():
+        near = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1
+        if not len(near):
+            continue
+        near = near[np.abs(table[near] - table[i]).max(axis=1) <= most * (size[near] + size[i]) + 1e-6]  # largest coordinate difference
+        d = np.bitwise_count(wide[near] ^ wide[i]).sum(axis=1, dtype=np.int64)
+        for j in near[np.argsort(d, kind="stable")].tolist():
             if part[i] != part[j] and alike(sets[i], sets[j], similarity):
                 part[part == part[j]] = part[i]
                 out.append((i, j))
     return out
 
 
-def further_pairs(reps: DataFrame, lists: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def further_pairs(reps: DataFrame, lists: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float, list_size: int = LIST) -> DataFrame:
     """a, b: the roots, or documents without one, that further links of the lists join; ``roots``: node, root.
 
-    ``sets``: id, s of every document that shares a list, as each such has a pair in the forest.
+    ``sets``: rep, s of every document that shares a list, as each such has a pair in the forest.
     """
-    kind = reps.schema["rep"].dataType.simpleString()
-    parts = sets.select("id").join(roots, F.col("id") == F.col("node"), "left").select(F.col("id").alias("rep"), F.coalesce("root", "id").alias("part"))
-    rows = lists.join(parts, "rep")
-    apart = rows.groupBy("g").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("g")
-    rows, _ = materialize(rows.join(apart, "g"), "lists-apart")
-    held = rows.join(reps.select("rep", "wide"), "rep").join(sets.select(F.col("id").alias("rep"), "s"), "rep").repartition("g").sortWithinPartitions("g", "rep")
+    parts = sets.select("rep").join(roots, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("part"))
+    rows = lists.select("key", "rep", "n").join(parts, "rep")
+    counts, _ = materialize(rows.groupBy("key", "n", "part").agg(F.count("*").alias("c")), "parts-of-lists")
+    apart = counts.groupBy("key", "n").agg(F.max(F.struct("c", "part")).alias("m")).where("m.c < n").select("key", F.col("m.part").alias("main"), F.col("m.c").alias("c"))
+    rows = rows.join(apart, "key")
+    half = max(1, list_size // 2)
+    inner, outer = F.ceil(F.col("c") / half), F.ceil((F.col("n") - F.col("c")) / half)  # blocks of the largest part, and of what is outside of it
+    numbers = lambda m: F.sequence(F.lit(0).cast("long"), m - 1)
+    inside, mine = F.col("part") == F.col("main"), lambda m: F.pmod(F.xxhash64("rep"), m)
+    own = mine(outer)
+    tasks = (
+        F.when(F.col("n") <= list_size, F.array(F.xxhash64("key")))
+        .when(inside, F.transform(numbers(outer), lambda i: F.xxhash64("key", F.lit("across"), i, mine(inner))))
+        .otherwise(F.concat(F.transform(numbers(inner), lambda j: F.xxhash64("key", F.lit("across"), own, j)), F.transform(numbers(outer), lambda j: F.xxhash64("key", F.lit("outside"), F.least(own, j), F.greatest(own, j)))))
+    )
+    rows, _ = materialize(rows.select("rep", "part", F.explode(tasks).alias("g")), "lists-apart")
+    held = rows.join(reps.select("rep", "wide"), "rep").join(sets, "rep").repartition("g").sortWithinPartitions("g", "rep")
 
     def run(t: pa.Table, bounds: list[int]) -> pa.RecordBatch:
         wide, part, s = wide_array(t), t.column("part").to_pylist(), t.column("s").combine_chunks()
@@ -221,23 +262,28 @@ def further_pairs(reps: DataFrame, lists: DataFrame, roots: DataFrame, sets: Dat
             got += [(a + x, a + y) for x, y in joining_pairs(wide[a:b], found, part[a:b], similarity)]
         return pairs_of(t, got, "part")
 
-    return ordered(by_list(held.select("g", "rep", "wide", "part", "s"), run, f"a {kind}, b {kind}"))
+    return ordered(by_list(held.select("g", "rep", "wide", "part", "s"), run, "a binary, b binary"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """The pairs whose shingle sets are at least ``similarity`` alike (shared / all), and id, s (the set) of their documents."""
-    kind = pairs.schema["a"].dataType.simpleString()
-    wanted = pairs.select(F.col("a").alias("w")).unionAll(pairs.select("b")).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, F.col("id") == F.col("w"), "left_semi")
+def shingle_sets(wanted: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """rep, s (32-bit hashes of the shingles, sorted) of the documents in ``wanted`` (w); ``rows``: id, h, rep."""
+    one = rows.join(wanted, F.col("rep") == F.col("w"), "left_semi").groupBy("rep").agg(F.min(F.struct("id", "h")).alias("x")).select(F.col("x.id").alias("i"), F.col("x.h").alias("x")).distinct()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(one, (F.col("id") == F.col("i")) & (F.xxhash64("text") == F.col("x")), "left_semi")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingle_set(normal_words(t.as_py()), words).astype("<u4")).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["id", "s"])
+            found = [normal_words(t.as_py()) for t in b.column(1)]
+            sets = [np.unique(shingle_set(f, words).astype("<u4")).tobytes() for f in found]
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(sequence_hash, found)), pa.binary()), pa.array(sets, pa.binary())], ["rep", "s"])
+
+    sets, _ = materialize(texts.mapInArrow(tidy(cut), "rep binary, s binary").groupBy("rep").agg(F.any_value("s").alias("s")), "shingle-sets")
+    return sets
+
 
-    sets, _ = materialize(texts.mapInArrow(tidy(cut), f"id {kind}, s binary").groupBy("id").agg(F.min("s").alias("s")), "shingle-sets")
-    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    both = with_a.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets are at least ``similarity`` alike (shared / all)."""
+    with_a = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
+    both = with_a.join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -245,4 +291,4 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, word
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(k).filter(mask) for k in (0, 1)], ["a", "b"])
 
-    return both.mapInArrow(tidy(run), f"a {kind}, b {kind}"), sets
+    return both.mapInArrow(tidy(run), "a binary, b binary")

@@ -8,21 +8,25 @@ The distances of every distinct fingerprint to PIVOTS reference fingerprints
 are computed once.  By the triangle inequality two fingerprints within
 ``max_bits`` differ by no more than that in any of them, so a pair is discarded
 at its largest coordinate difference and only survivors are verified bit by
-bit.  Pairs are looked for within lists of fingerprints that agree in one of
-``max_bits + 1`` bands, as any linked pair must.  A list longer than LIST is
-divided by its first two coordinates (with the overlap that the bound needs)
-and then into blocks, of which each pair meets in one task; so no task holds an
-unbounded list and nothing is capped.  A task reports only the links that join
-what it hasn't joined yet, so dense groups don't give all their pairs.
+bit.  Pairs are looked for within lists: of ``max_bits + 2`` equal bands of
+bits, any linked pair agrees in two at least, so a list holds the fingerprints
+that agree in two given bands.  A list longer than LIST is divided the same way
+by the bits that are left, and so on; once few enough bits are left, a list
+can't be longer, as its fingerprints are distinct.  So no task holds an
+unbounded list, nothing is capped and no group is dealt out in all pairs.  A task
+reports only the links that join what it hasn't joined yet.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like
-any other; repeated rows share a fingerprint; a group whose ids are all null
-has no component id; an empty table gives an empty result.
+any other; repeated rows share a fingerprint; rows with one id and different
+texts are documents of their own; a group whose ids are all null has no
+component id; an empty table gives an empty result; other columns pass by.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm import nearcopies
-from lumenframe.llm.common import materialize, tidy
+from lumenframe.llm.common import materialize, small, tidy
 from lumenframe.llm.components import components, few_components
 
 WORDS, MAX_BITS, LIST = 3, 2, 256
 PIVOTS = np.array([xxhash.xxh64_intdigest(b"pivot %d" % i, 42) for i in range(16)], dtype=np.uint64)
-CELL = 3
-#: Rows of one id each that may be broadcast once counted; beyond it, a shuffled join.
-BROADCAST_ROWS = 1_000_000
 #: Edges that are joined in the driver once counted; beyond it, by stars.
 FEW_EDGES = 20_000
 
@@ -63,34 +64,40 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """id, fp for every row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """id, h (hash of the text), fp for every row."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = [fingerprint(t.as_py(), words) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["id", "fp"])
+            fp = [fingerprint(t.as_py(), words) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], ["id", "h", "fp"])
 
-    return rows.mapInArrow(tidy(run), f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(tidy(run), f"id {rows.schema['id'].dataType.simpleString()}, h long, fp long")
 
 
 def with_pivots(reps: DataFrame) -> DataFrame:
-    """Adds the table of distances to the pivots, a byte each."""
-    kind = reps.schema["rep"].dataType.simpleString()
+    """fp and the table of its distances to the pivots, a byte each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             table = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in table], pa.binary()), pa.array(table[:, 0], pa.int32()), pa.array(table[:, 1], pa.int32())], ["fp", "rep", "dist", "d0", "d1"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in table], pa.binary())], ["fp", "dist"])
 
-    return reps.select("fp", "rep").mapInArrow(tidy(run), f"fp long, rep {kind}, dist binary, d0 int, d1 int")
+    return reps.select("fp").mapInArrow(tidy(run), "fp long, dist binary")
 
 
-def bands(max_bits: int) -> list[tuple[int, int]]:
-    """Shift and width of disjoint bands, one more than the bits that may differ."""
-    cuts = [64 * i // (max_bits + 1) for i in range(max_bits + 2)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+def agreeing(mask: int, max_bits: int) -> list[int]:
+    """Bits that any linked pair which agrees in ``mask`` agrees in as well, in one of the ways: two bands more of the bits left."""
+    left = [i for i in range(64) if not mask >> i & 1]
+    n = max_bits + 2
+    cuts = [len(left) * i // n for i in range(n + 1)]
+    bands = [sum(1 << i for i in left[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [mask | bands[i] | bands[j] for i, j in combinations(range(n), 2)]
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def joined_pairs(group: np.ndarray, fp: np.ndarray, dist: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
@@ -125,75 +132,71 @@ def joined_pairs(group: np.ndarray, fp: np.ndarray, dist: np.ndarray, max_bits:
 
 
 def links(reps: DataFrame, max_bits: int = MAX_BITS, most: int = LIST) -> DataFrame:
-    """a, b: representatives of distinct fingerprints that link, enough to connect all that are linked.
-
-    ``reps``: fp, rep; both distinct.
-    """
-    kind = reps.schema["rep"].dataType.simpleString()
+    """a, b: distinct fingerprints that link, enough to connect all that are linked; ``reps``: fp, distinct."""
     table, _ = materialize(with_pivots(reps), "pivot-table")
-    keys = table.select("*", F.explode(F.array(*[F.xxhash64(F.lit(i), F.shiftrightunsigned("fp", s).bitwiseAND((1 << w) - 1)) for i, (s, w) in enumerate(bands(max_bits))])).alias("key"))
-    lists = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = keys.join(lists, "key")
-    half = max_bits / 2
-    cells = [F.when(F.col("n") <= most, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.floor((F.col(c) - half) / CELL), F.floor((F.col(c) + half) / CELL))) for c in ("d0", "d1")]
-    blocks = F.ceil(F.col("n") / most)
-    own = F.pmod(F.xxhash64("fp"), blocks)
-    tasks = F.when(F.col("n") <= most, F.array(F.lit("0"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.concat_ws("-", F.least(own, j).cast("string"), F.greatest(own, j).cast("string"))))
-    rows = rows.select("key", "fp", "rep", "dist", cells[1].alias("c1"), tasks.alias("ts"), F.explode(cells[0]).alias("x"))
-    rows = rows.select("key", "fp", "rep", "dist", "ts", "x", F.explode("c1").alias("y"))
-    rows = rows.select("key", "fp", "rep", "dist", "x", "y", F.explode("ts").alias("t")).select(F.xxhash64("key", "x", "y", "t").alias("g"), "fp", "rep", "dist")
-    rows = rows.repartition("g").sortWithinPartitions("g", "fp")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def pairs(t: pa.Table) -> pa.RecordBatch:
-            t = t.combine_chunks()
-            g, fp = (t.column(c).to_numpy() for c in ("g", "fp"))
-            dist = np.frombuffer(b"".join(t.column("dist").to_pylist()), dtype=np.uint8).reshape(-1, len(PIVOTS))
-            got = joined_pairs(g, fp.view(np.uint64), dist, max_bits)
-            rep = t.column("rep")
-            a, b = (rep.take(pa.array([p[k] for p in got], pa.int64())).combine_chunks() for k in (0, 1))
-            return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+    masks, short = agreeing(0, max_bits), []
+    wide = table.select("fp", F.explode(F.array(*[F.lit(signed(m)) for m in masks])).alias("mask"))
+    while True:
+        keys = wide.select("fp", "mask", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+        lists = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        rows, _ = materialize(keys.join(lists, "key"), "fingerprint-lists")
+        short.append(rows.where(F.col("n") <= most).select("key", "fp"))
+        long = rows.where(F.col("n") > most)
+        within = {m: [x for x in agreeing(m, max_bits) if x != m] for m in masks}
+        if long.isEmpty() or not any(within.values()):
+            short.append(long.select("key", "fp"))
+            break
+        further = F.create_map(*[x for m, then in within.items() for x in (F.lit(signed(m)), F.array(*[F.lit(signed(t)) for t in then or [m]]))])
+        wide = long.select("fp", F.explode(F.element_at(further, F.col("mask"))).alias("mask")).distinct()
+        masks = sorted({x for then in within.values() for x in then})
+    lists = reduce(DataFrame.unionAll, short).join(table, "fp").select("key", "fp", "dist").repartition("key").sortWithinPartitions("key", "fp")
 
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            g = held.column("g").to_numpy()
-            cut = int(np.searchsorted(g == g[-1], True)) if g[0] != g[-1] else 0  # the last list may go on
-            if cut:
-                yield pairs(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and len(held):
-            yield pairs(held)
+    def run(t: pa.Table, bounds: list[int]) -> pa.RecordBatch:
+        g, fp = (t.column(c).to_numpy() for c in ("g", "fp"))
+        dist = np.frombuffer(b"".join(t.column("dist").to_pylist()), dtype=np.uint8).reshape(-1, len(PIVOTS))
+        return nearcopies.pairs_of(t, joined_pairs(g, fp.view(np.uint64), dist, max_bits), "fp")
 
-    return rows.mapInArrow(tidy(run), f"a {kind}, b {kind}").where("a is not null and b is not null and a != b")
+    found = nearcopies.by_list(lists.select(F.col("key").alias("g"), "fp", "dist"), run, "a long, b long")
+    return found.where("a != b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, max_bits: int = MAX_BITS, most: int = LIST) -> DataFrame:
     """id, fp, component_id (the smallest id reachable) for every row."""
+    return _by_fingerprint(docs, id_col, text_col, words, max_bits, most).select("id", "fp", "component_id")
+
+
+def _by_fingerprint(docs: DataFrame, id_col: str, text_col: str, words: int, max_bits: int, most: int = LIST) -> DataFrame:
+    """id, h, fp, component_id and node (what rows of one component share)."""
     fps, _ = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
     reps, _ = materialize(fps.groupBy("fp").agg(F.min("id").alias("rep")), "representatives")
-    roots = components(links(reps, max_bits, most))
-    of_fp, _ = materialize(
-        reps.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("of"), F.coalesce("root", "rep").alias("component_id")), "components"
-    )
-    return fps.join(of_fp, F.col("fp") == F.col("of")).select("id", "fp", "component_id")
+    linked = reps.join(components(links(reps, max_bits, most)), F.col("fp") == F.col("node"))
+    low = linked.groupBy("root").agg(F.min("rep").alias("low"))
+    linked = linked.select("fp", "root").join(low, "root").select(F.col("fp").alias("node"), "root", "low")
+    of_fp, _ = materialize(reps.join(linked, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("of"), F.coalesce("root", "fp").alias("node"), F.coalesce("low", "rep").alias("component_id")), "components")
+    return fps.join(of_fp, F.col("fp") == F.col("of")).select("id", "h", "fp", "component_id", "node")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """id, component_id (the smallest id reachable) for every row; pairs at least ``similarity`` alike link.
+    """id, component_id (the smallest id reachable) for every row with an id; pairs at least ``similarity`` alike link.
 
-    Equal word sequences are one document; the others link by wide fingerprints
-    (see ``nearcopies``).  Documents without a word are equal to each other.
+    Equal word sequences are one document; the others link as ``nearcopies``
+    says.  Documents without a word are equal to each other.
     """
-    rows, _ = materialize(nearcopies.sketches(docs, id_col, text_col, words), "sketches")
-    reps, _ = materialize(rows.where("id is not null").groupBy("whole").agg(F.min("id").alias("rep"), F.any_value("wide").alias("wide"), F.any_value("keys").alias("keys")), "distinct-texts")
+    rows = _by_similarity(docs, id_col, text_col, words, similarity)
+    low = rows.groupBy("node").agg(F.min("id").alias("component_id"))
+    return rows.join(low, "node").select("id", "component_id")
+
+
+def _by_similarity(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """id, h, node (what rows of one component share), of rows with an id."""
+    rows, _ = materialize(nearcopies.sketches(docs, id_col, text_col, words).where("id is not null"), "sketches")
+    reps, _ = materialize(rows.groupBy("rep").agg(F.any_value("wide").alias("wide"), F.any_value("keys").alias("keys")), "distinct-texts")
     lists = nearcopies.band_lists(reps)
     pairs, _ = materialize(nearcopies.close_pairs(reps, lists), "close-pairs")
-    links, sets = nearcopies.verified(pairs, docs, id_col, text_col, words, similarity)
-    links, _ = materialize(links, "links")
-    roots = components(links)
+    wanted = pairs.select(F.col("a").alias("w")).unionAll(pairs.select("b")).distinct()
+    sets = nearcopies.shingle_sets(wanted, rows.select("id", "h", "rep"), docs, id_col, text_col, words)
+    linked, _ = materialize(nearcopies.verified(pairs, sets, similarity), "links")
+    roots, _ = materialize(components(linked), "roots")
     more, _ = materialize(nearcopies.further_pairs(reps, lists, roots, sets, similarity), "further-links")
     if n := more.count():
         now = few_components(more) if n <= FEW_EDGES else components(more)
@@ -202,22 +205,26 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             roots.join(now, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root"))
             .unionAll(now.join(roots, F.col("was") == F.col("node"), "left_anti"))
         )
-    of, _ = materialize(reps.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("whole").alias("of"), F.coalesce("root", "rep").alias("component_id")), "components")
-    return rows.join(of, F.col("whole") == F.col("of"), "left").select("id", "component_id")
+    of, _ = materialize(reps.select("rep").join(roots, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("of"), F.coalesce("root", "rep").alias("node")), "components")
+    return rows.select("id", "h", "rep").join(of, F.col("rep") == F.col("of")).select("id", "h", "node")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float | None = 0.8, max_bits: int = MAX_BITS) -> DataFrame:
     """Keeps one document of each group, the one with the smallest id; columns stay as they are.
 
     Groups are those of ``similarity``, or of ``max_bits`` where that is None.
-    Of repeated rows with one id a single one stays; rows without an id stay.
+    A document is a row's id and text: of rows with one id, each text stands
+    for itself; of equal rows a single one stays; rows without an id stay.
     """
-    found = near_duplicates(docs, id_col, text_col, words, max_bits) if similarity is None else similar_documents(docs, id_col, text_col, words, similarity)
-    found, _ = materialize(found.select("id", "component_id"), "groups")
-    gone = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("__lf_id")).distinct()
-    n = gone.count()
-    kept = docs.join(F.broadcast(gone) if n <= BROADCAST_ROWS else gone, F.col(id_col) == F.col("__lf_id"), "left_anti")
-    repeated = found.where("id = component_id").groupBy("id").count().where("count > 1").limit(1).count()
-    if not repeated:
+    found = _by_fingerprint(docs, id_col, text_col, words, max_bits).where("id is not null") if similarity is None else _by_similarity(docs, id_col, text_col, words, similarity)
+    found, _ = materialize(found.groupBy("node", "id", "h").agg(F.count("*").alias("n")), "groups")
+    first = found.groupBy("node").agg(F.min(F.struct("id", "h")).alias("first"))
+    marked = found.join(first, "node").withColumn("stays", F.struct("id", "h") == F.col("first"))
+    marked, _ = materialize(marked.where("not stays or n > 1").select(F.col("id").alias("__lf_id"), F.col("h").alias("__lf_h"), "stays"), "groups-marked")
+    same = (F.col(id_col) == F.col("__lf_id")) & (F.xxhash64(text_col) == F.col("__lf_h"))
+    kept = docs.join(small(marked.where("not stays").drop("stays")), same, "left_anti")
+    repeated = marked.where("stays").drop("stays")
+    if repeated.isEmpty():
         return kept
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionAll(kept.where(F.col(id_col).isNull()))
+    repeated = small(repeated)
+    return kept.join(repeated, same, "left_anti").unionAll(kept.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))

@@ -320,10 +320,71 @@ def test_simhash_links(spark, most):
 def test_dense_fingerprints_link_in_blocks(spark):
     rng = np.random.default_rng(0)
     fps = [int(x) for x in np.unique(rng.integers(0, 2**12, 300))]  # all agree in the upper bands
-    df = spark.createDataFrame([(x, i) for i, x in enumerate(fps)], "fp long, rep long")
-    got = {r.node: r.root for r in components.components(simhash.links(df, most=16)).collect()}
-    want = brute_components(list(range(len(fps))), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
-    assert {i: got.get(i, i) for i in want} == want
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    want = brute_components(fps, lambda a, b: (a ^ b).bit_count() <= 2)
+    for most in (16, 4):
+        got = {r.node: r.root for r in components.components(simhash.links(df, most=most)).collect()}
+        assert {i: got.get(i, i) for i in want} == want
+
+
+def test_masks_hold_every_linked_pair():
+    rng = np.random.default_rng(3)
+    for max_bits in (0, 1, 2, 3):
+        for _ in range(50):
+            a, bits = int(rng.integers(0, 2**63)), rng.choice(64, max_bits, replace=False)
+            b, masks = a ^ sum(1 << int(i) for i in bits), [0]
+            for _ in range(6):  # however often lists are divided, one way keeps the pair together
+                masks = [m for mask in masks for m in simhash.agreeing(mask, max_bits) if a & m == b & m]
+                assert masks
+                masks = masks[:2]
+
+
+def test_documents_are_rows_not_ids(spark):
+    x, y = prose(1, 60), prose(2, 60)
+    rows = docs_of(spark, [x, x, y, x, None, None], [1, 4, 4, 1, 9, 9])
+    for similarity in (0.8, None):
+        kept = simhash.drop_near_duplicates(clashing(rows), similarity=similarity).collect()
+        assert sorted((r.doc_id, r.text or "") for r in kept) == [(1, x), (4, y), (9, "")]
+    named = spark.createDataFrame([("b" * 50, y), ("a" * 50, y), ("c", x)], "doc_id string, text string")
+    assert sorted(r.doc_id[:1] for r in simhash.drop_near_duplicates(named).collect()) == ["a", "c"]
+
+
+def test_long_lists_are_dealt_in_blocks_without_loss(spark):
+    rng = np.random.default_rng(12)
+    texts = []
+    for m in range(90):  # one family: all share lists, some pairs are alike and some aren't
+        at = set(rng.choice(124, int(rng.integers(0, 4)), replace=False).tolist())
+        texts.append(" ".join(f"v{m}x{k}" if k in at else f"w{k}" for k in range(124)))
+    sets = [set(nearcopies.shingle_set(nearcopies.normal_words(t), 5).tolist()) for t in texts]
+    want = brute_components(list(range(90)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9)
+    docs = docs_of(spark, texts)
+    rows = nearcopies.sketches(docs, "doc_id", "text", 5).cache()
+    reps = rows.select("rep", "wide", "keys")
+    lists = nearcopies.band_lists(reps)
+    pairs = nearcopies.close_pairs(reps, lists, 16)
+    wanted = reps.select(F.col("rep").alias("w"))
+    s = nearcopies.shingle_sets(wanted, rows, docs, "doc_id", "text", 5)
+    linked = nearcopies.verified(pairs, s, 0.8)
+    more = nearcopies.further_pairs(reps, lists, components.components(linked), s, 0.8, 16)
+    got = {r.node: r.root for r in components.few_components(components.components(linked).select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)).collect()}
+    groups = {}
+    for r in rows.select("id", "rep").collect():
+        groups.setdefault(bytes(got.get(r.rep, r.rep)), []).append(r.id)
+    assert sorted(map(sorted, groups.values())) == sorted([i for i in want if want[i] == root] for root in set(want.values()))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 30), min_size=1, max_size=24), min_size=2, max_size=14), st.integers(0, 3))
+def test_pivot_tables_lose_no_link(sets, groups):
+    found = [np.array(sorted(x), dtype="<u4") for x in sets]
+    parts = [i % (groups + 1) if groups else i for i in range(len(found))]
+    wide = np.zeros((len(found), 4), dtype=np.uint64)
+    pairs = nearcopies.joining_pairs(wide, found, parts, 0.6)
+    close = lambda a, b: len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])
+    assert all(close(a, b) and parts[a] != parts[b] for a, b in pairs)
+    ids = list(range(len(found)))
+    known = lambda a, b: parts[a] == parts[b]
+    assert brute_components(ids, lambda a, b: known(a, b) or (a, b) in pairs or (b, a) in pairs) == brute_components(ids, lambda a, b: known(a, b) or close(a, b))
 
 
 def test_similar_documents(spark):
