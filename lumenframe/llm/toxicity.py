@@ -4,13 +4,17 @@ The lexicon is a trie of whole words and stems.  The Levenshtein automata of
 all its terms are intersected with the trie as one automaton whose states are
 sets of (trie node, errors so far); states are made when first met and then
 kept, so a word costs one table step for each character and most words reach
-the dead state after a few.  Hits are scored in a window of words around
-them: quotation marks, reporting verbs and denials lower a hit, direct address
-and repetition raise it.
+the dead state after a few.  Two neighbouring letters that are swapped count as
+one error.  Hits are scored in a window of words around them: quotation marks,
+reporting verbs and denials lower a hit, direct address and repetition raise it.
+
+Learning takes a bounded number of labelled documents, whole: counts and
+features are made on the executors, and the driver gets those only.
 
 Defined cases: a null or empty text scores as a text without hits; repeated
 rows score alike; an empty table gives an empty result; without training rows
-the lexicon is empty and every document gets the same low score.
+the lexicon is empty and every document gets the same low score; texts of any
+length are scanned whole; other columns pass by.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import logistic, sampled_labels, sigmoid, tidy
+from lumenframe.llm.common import logistic, materialize, remove, sampled_labels, sigmoid, tidy
 
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 QUOTES = "\"“”„«»‘’‹›"
@@ -35,8 +39,10 @@ ADDRESS = frozenset("you your you're u ur du dein ihr euch tu toi vous votre ere
 SCORE_TYPE = "score double, hits int, fuzzy_hits int, quoted_hits int"
 #: Documents of either class from which the lexicon and the weights are learned.
 TRAIN_DOCS = 2500
-#: Longer documents aren't chosen for training (they are scored whole all the same).
-TRAIN_CHARS = 100_000
+#: Positive documents that a term needs, and letters of the stems that are tried.
+MIN_SUPPORT, STEM_SIZES = 3, (4, 5, 6, 7)
+#: Words looked up so far that a worker keeps, in characters.
+KEEP_CHARS = 8_000_000
 
 
 class LexiconAutomaton:
@@ -44,8 +50,9 @@ class LexiconAutomaton:
 
     ``terms``: term -> (weight, is_stem).  A stem accepts any word that starts
     with it; its name may end in a star, so that an equal word can stand beside
-    it.  ``edits(term)`` errors (insert, delete, substitute, and a swap of
-    neighbours as two) are allowed, none for short terms.
+    it.  ``edits(term)`` errors (insert, delete, substitute, swap of neighbours)
+    are allowed, none for short terms.  A state's key is a node, or a node and
+    the letter that has yet to come when two are swapped before it.
     """
 
     def __init__(self, terms: dict[str, tuple[float, bool]], min_fuzzy: int = 5, min_fuzzy_stem: int = 8, max_edits: int = 1):
@@ -74,18 +81,18 @@ class LexiconAutomaton:
         self.final: list[tuple[str, int] | None] = []  # at the word's end
         self.stems: list[tuple[str, int] | None] = []  # accepts whatever follows
         self.dead = self._state(frozenset())
-        self.start = self._state(self._closed({0: 0}))
+        self.start = self._state(self._closed({(0, ""): 0}))
 
-    def _closed(self, best: dict[int, int]) -> frozenset:
+    def _closed(self, best: dict[tuple[int, str], int]) -> frozenset:
         """Adds the states that skip a term's character (a deletion)."""
-        todo = list(best)
+        todo = [k for k in best if not k[1]]
         while todo:
-            node = todo.pop()
-            e = best[node] + 1
-            for kid in self.kids[node].values():
-                if e <= self.slack[kid] and e < best.get(kid, 99):
-                    best[kid] = e
-                    todo.append(kid)
+            at = todo.pop()
+            e = best[at] + 1
+            for kid in self.kids[at[0]].values():
+                if e <= self.slack[kid] and e < best.get((kid, ""), 99):
+                    best[kid, ""] = e
+                    todo.append((kid, ""))
         return frozenset(best.items())
 
     def _state(self, key: frozenset) -> int:
@@ -93,24 +100,34 @@ class LexiconAutomaton:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
             self.moves.append({})
-            ended = [(e, t) for n, e in key for t, allowed, _ in self.ends[n] if e <= allowed]
-            stems = [(e, t) for n, e in key for t, allowed, stem in self.ends[n] if stem and e <= allowed]
+            ended = [(e, t) for (n, wait), e in key if not wait for t, allowed, _ in self.ends[n] if e <= allowed]
+            stems = [(e, t) for (n, wait), e in key if not wait for t, allowed, stem in self.ends[n] if stem and e <= allowed]
             self.final.append((min(ended)[1], min(ended)[0]) if ended else None)
             self.stems.append((min(stems)[1], min(stems)[0]) if stems else None)
         return self.ids[key]
 
     def _move(self, state: int, c: str) -> int:
-        best: dict[int, int] = {}
-        for node, e in self.sets[state]:
+        best: dict[tuple[int, str], int] = {}
+
+        def reach(node: int, e: int, wait: str = "") -> None:
+            if e <= self.slack[node]:
+                best[node, wait] = min(best.get((node, wait), 99), e)
+
+        for (node, wait), e in self.sets[state]:
+            if wait:
+                if c == wait:
+                    reach(node, e)
+                continue
             kid = self.kids[node].get(c)
-            if kid is not None and e <= self.slack[kid]:
-                best[kid] = min(best.get(kid, 99), e)
+            if kid is not None:
+                reach(kid, e)
             if e < self.max_edits:
-                if e + 1 <= self.slack[node]:
-                    best[node] = min(best.get(node, 99), e + 1)  # an extra character in the word
-                for k in self.kids[node].values():
-                    if e + 1 <= self.slack[k]:
-                        best[k] = min(best.get(k, 99), e + 1)  # another character in its place
+                reach(node, e + 1)  # an extra character in the word
+                for first, k in self.kids[node].items():
+                    reach(k, e + 1)  # another character in its place
+                    swapped = self.kids[k].get(c)
+                    if swapped is not None and first != c:
+                        reach(swapped, e + 1, first)
         to = self._state(self._closed(best)) if best else self.dead
         self.moves[state][c] = to
         return to
@@ -144,24 +161,27 @@ class ToxicityModel:
     address_factor: float = 1.25
     _automaton: LexiconAutomaton | None = None
     _seen: dict[str, tuple[str, int] | None] = field(default_factory=dict)
+    _kept: int = 0  # characters of the words seen
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_automaton", "_seen")} | {"_automaton": None, "_seen": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_automaton", "_seen", "_kept")} | {"_automaton": None, "_seen": {}, "_kept": 0}
 
     def forget(self) -> None:
-        self._automaton, self._seen = None, {}
+        self._automaton, self._seen, self._kept = None, {}, 0
 
     def look(self, words: set[str]) -> dict[str, tuple[str, int]]:
         """The words that match a term; results are kept between documents."""
         if self._automaton is None:
             self._automaton = LexiconAutomaton(self.terms)
         seen, match = self._seen, self._automaton.match
-        if len(seen) > 400_000:
+        if self._kept > KEEP_CHARS:
             seen.clear()
+            self._kept = 0
         fresh = words.difference(seen)
         for w in fresh:
             m = match(w)
             seen[w] = None if m and m[1] and w in self.plain else m
+            self._kept += len(w)
         return {w: m for w in words if (m := seen[w]) is not None}
 
     def features(self, text: str | None) -> tuple[np.ndarray, tuple[int, int, int]]:
@@ -196,6 +216,10 @@ class ToxicityModel:
         s = np.array(scores)
         return np.array([s.max(), np.sqrt(s.sum()), np.sqrt(s.sum() / len(spans))]), (n, fuzzy, quoted)
 
+    def near_words(self, text: str) -> set[str]:
+        """Words that match a term by errors only."""
+        return {w for w, m in self.look(set(WORD.findall(text.lower()))).items() if m[1]}
+
     def score(self, texts) -> pd.DataFrame:
         x, counts = zip(*map(self.features, texts), strict=True) if len(texts) else ((), ())
         x = np.array(x).reshape(-1, 3)
@@ -203,56 +227,52 @@ class ToxicityModel:
         return pd.DataFrame({"score": sigmoid(x @ self.weights + self.bias), "hits": c[:, 0], "fuzzy_hits": c[:, 1], "quoted_hits": c[:, 2]})
 
 
-def learn_lexicon(docs: list[tuple[str, int]], most: int = 400, stem_sizes=(4, 5, 6, 7), min_support: int = 3) -> dict[str, tuple[float, bool]]:
-    """Words and stems that stand out in the positive documents.
+def grams(text: str, stem_sizes=STEM_SIZES) -> set[str]:
+    """The words of a text, and their beginnings with a star."""
+    out = set()
+    for w in set(WORD.findall(text.lower())):
+        out.add(w)
+        for k in stem_sizes:
+            if len(w) > k:
+                out.add(w[:k] + "*")
+    return out
 
-    Each is held against the negatives by a smoothed log ratio; chosen greedily
-    by how many positives they add that no chosen term covers yet, so a word
-    that only travels with toxic terms isn't taken; a term of many positives
-    (one in 20) and no negative always is.  The words that stand out
-    behind a chosen stem are terms as well, as a stem of few letters takes no
-    error and a word does.
-    """
-    pos = [t for t, y in docs if y == 1]
-    neg = [t for t, y in docs if y == 0]
-    if not pos or not neg:
-        return {}
 
-    def grams(text: str) -> set[str]:
-        out = set()
-        for w in set(WORD.findall(text.lower())):
-            out.add(w)
-            for k in stem_sizes:
-                if len(w) > k:
-                    out.add(w[:k] + "*")
-        return out
-
-    in_pos: Counter = Counter()
-    sets = [grams(t) for t in pos]
-    for s in sets:
-        in_pos.update(s)
+def worth(in_pos: dict[str, int], in_neg: dict[str, int], n_pos: int, n_neg: int, min_support: int = MIN_SUPPORT) -> dict[str, float]:
+    """Smoothed log ratios of the words and stems that stand out in the positive documents, by more than chance."""
     kept = {g for g, c in in_pos.items() if c >= min_support}
-    in_neg: Counter = Counter()
-    for t in neg:
-        in_neg.update(grams(t) & kept)
-    ratio, share = len(neg) / len(pos), len(pos) / len(docs)
+    if not kept or not n_neg:
+        return {}
+    ratio, share = n_neg / n_pos, n_pos / (n_pos + n_neg)
     value = {}
     bar = 2 * np.log(1000 * max(1, len(kept)))  # likelihood ratio that chance reaches once in 1000 such searches
     for g in kept:
-        a, b = in_pos[g], in_neg[g]
+        a, b = in_pos[g], in_neg.get(g, 0)
         g2 = 2 * (a * np.log(a / ((a + b) * share)) + (b * np.log(b / ((a + b) * (1 - share))) if b else 0.0))
         if a * ratio > 10 * b and g2 > bar:
             value[g] = float(np.log((a * ratio + 0.25) / (b + 0.25)))
+    return value
+
+
+def choose_terms(value: dict[str, float], in_neg: dict[str, int], sets: list[set[str]], min_support: int = MIN_SUPPORT, stem_sizes=STEM_SIZES) -> dict[str, tuple[float, bool]]:
+    """Terms among those of ``value``; ``sets`` holds what each positive document has of them.
+
+    Chosen greedily by how many positives they add that no chosen term covers
+    yet, so a word that only travels with toxic terms isn't taken; a term of
+    many positives (one in 20) and no negative always is.  The words that stand
+    out behind a chosen stem are terms as well, as a stem of few letters takes
+    no error and a word does.
+    """
     where: dict[str, set[int]] = {g: set() for g in value}
     for i, s in enumerate(sets):
         for g in s & value.keys():
             where[g].add(i)
     out: dict[str, tuple[float, bool]] = {}
-    covered = np.zeros(len(pos), dtype=int)
+    covered = np.zeros(len(sets), dtype=int)
     # the more documents the sooner; of equal ones the longer stem, then the word, so that the term isn't too wide
     for g in sorted(value, key=lambda g: (-len(where[g]), not g.endswith("*"), -len(g), g)):
         new = sum(covered[i] < 4 for i in where[g])
-        often = not in_neg[g] and len(where[g]) >= max(min_support, 0.05 * len(pos))  # many positives, no negative: not by chance
+        often = not in_neg.get(g) and len(where[g]) >= max(min_support, 0.05 * len(sets))  # many positives, no negative: not by chance
         if new >= max(min_support, 0.2 * len(where[g])) or often:
             stem = g.endswith("*")
             if any(g.rstrip("*").startswith(x.rstrip("*")) for x, (_, is_stem) in out.items() if is_stem):
@@ -260,8 +280,6 @@ def learn_lexicon(docs: list[tuple[str, int]], most: int = 400, stem_sizes=(4, 5
             out[g] = (value[g], stem)
             for i in where[g]:
                 covered[i] += 1
-        if len(out) >= most:
-            break
     stems = {g.rstrip("*") for g, (_, stem) in out.items() if stem}
     for w in value:
         if not w.endswith("*") and any(w[:k] in stems for k in stem_sizes if len(w) > k):
@@ -269,46 +287,80 @@ def learn_lexicon(docs: list[tuple[str, int]], most: int = 400, stem_sizes=(4, 5
     return out
 
 
-def plain_words(docs: list[tuple[str, int]], model: ToxicityModel, min_support: int = 3) -> frozenset:
-    """Words that match a term by errors only, but that negatives hold as often as not: no misspellings."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for t, y in docs:
-        counts[y].update(w for w, m in model.look(set(WORD.findall(t.lower()))).items() if m[1])
-    model.forget()
-    neg, pos = counts
-    ratio = sum(y == 0 for _, y in docs) / max(1, sum(y == 1 for _, y in docs))
-    return frozenset(w for w, b in neg.items() if b >= min_support and pos[w] * ratio <= 10 * b)
+def plain_words(in_pos: dict[str, int], in_neg: dict[str, int], n_pos: int, n_neg: int, min_support: int = MIN_SUPPORT) -> frozenset:
+    """Of words that match a term by errors only, those that negatives hold as often as not: no misspellings."""
+    ratio = n_neg / max(1, n_pos)
+    return frozenset(w for w, b in in_neg.items() if b >= min_support and in_pos.get(w, 0) * ratio <= 10 * b)
 
 
-def fit(docs: list[tuple[str, int]]) -> ToxicityModel:
-    """Lexicon and weights from all of the rows."""
-    model = ToxicityModel(terms=learn_lexicon(docs))
-    if not docs:
+def weighted(model: ToxicityModel, x: np.ndarray, y: np.ndarray) -> ToxicityModel:
+    """The model with weights fitted to features and labels."""
+    if not len(y):
         return model
-    if model.terms:
-        model.plain = plain_words(docs, model)
-    x = np.array([model.features(t)[0] for t, _ in docs])
-    y = np.array([v for _, v in docs])
     scale = np.maximum(x.std(axis=0), 1e-6) if model.terms else np.ones(3)
     w, b = logistic(x / scale, y, l2=1e-3, balanced=False)
     if model.terms:
-        w = np.maximum(w, 0)
-        model.weights, model.bias = w / scale, float(b)
+        model.weights, model.bias = np.maximum(w, 0) / scale, float(b)
     else:
         model.weights, model.bias = np.zeros(3), -4.0
     model.forget()
     return model
 
 
+def fit(docs: list[tuple[str, int]]) -> ToxicityModel:
+    """As ``train``, from rows at hand."""
+    pos, neg = [grams(t) for t, y in docs if y == 1], [grams(t) for t, y in docs if y == 0]
+    in_pos, in_neg = (Counter(g for s in side for g in s) for side in (pos, neg))
+    model = ToxicityModel(terms=choose_terms(worth(in_pos, in_neg, len(pos), len(neg)), in_neg, pos))
+    if model.terms:
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        for t, y in docs:
+            counts[y].update(model.near_words(t))
+        model.plain = plain_words(counts[1], counts[0], len(pos), len(neg))
+        model.forget()
+    return weighted(model, np.array([model.features(t)[0] for t, _ in docs]), np.array([y for _, y in docs]))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", train_docs: int = TRAIN_DOCS) -> ToxicityModel:
-    """Fits on at most ``train_docs`` labelled documents of each class outside the held-out fold."""
+    """Fits on at most ``train_docs`` labelled documents of each class outside the held-out fold.
+
+    Their whole texts stay on the executors.  The driver gets the counts of the words and stems that
+    enough positives hold, which positives hold those that stand out, and three features for each document.
+    """
     ids = sampled_labels(labels, id_col, label, train_docs)
     rows = (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= TRAIN_CHARS)
+        docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         .join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
-        .orderBy("id").collect()
-    )
-    return fit([(r.text or "", r.label) for r in rows])
+    )
+    rows, path = materialize(rows, "toxicity-sample")
+    size = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n_pos, n_neg = size.get(1, 0), size.get(0, 0)
+
+    def over(make, out: str) -> DataFrame:
+        """One list for each document, made from its text."""
+
+        @F.pandas_udf(out)
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            yield from tidy(lambda rest: (pd.Series([make(t) for t in s]) for s in rest))(batches)
+
+        return rows.select("id", "label", run("text").alias("x"))
+
+    def tally(lists: DataFrame, least: int) -> tuple[dict[str, int], dict[str, int]]:
+        counts = lists.select("label", F.explode("x").alias("g")).groupBy("g").agg(F.sum("label").alias("p"), F.count("*").alias("n"))
+        got = counts.where((F.col("p") >= least) if least else (F.col("n") - F.col("p") >= MIN_SUPPORT)).collect()
+        return {r.g: r.p for r in got}, {r.g: r.n - r.p for r in got}
+
+    model = ToxicityModel()
+    if n_pos and n_neg:
+        in_pos, in_neg = tally(over(lambda t: list(grams(t)), "array<string>"), MIN_SUPPORT)
+        value = worth(in_pos, in_neg, n_pos, n_neg)
+        held = over(lambda t: [g for g in grams(t) if g in value], "array<string>").where("label = 1").orderBy("id")
+        model.terms = choose_terms(value, in_neg, [set(r.x) for r in held.select("x").collect()])
+        if model.terms:
+            model.plain = plain_words(*tally(over(lambda t: list(model.near_words(t)), "array<string>"), 0), n_pos, n_neg)
+    got = over(lambda t: model.features(t)[0].tolist(), "array<double>").orderBy("id").select("x", "label").collect()
+    remove(docs.sparkSession, path)
+    return weighted(model, np.array([r.x for r in got]).reshape(-1, 3), np.array([r.label for r in got]))
 
 
 def scored(text: Column, model: ToxicityModel) -> Column:
