@@ -8,7 +8,9 @@ margin between the two smallest totals rejects the decision.
 Defined cases: null texts and texts without a letter are ``und`` with score 0
 and are rejected; a text whose margin is narrow keeps its best language, with
 ``accepted`` false; ties go to the language that sorts first; without training
-rows every document is ``und``.
+rows every document is ``und``; an empty table gives an empty result; repeated
+rows are identified alike; texts of any length are compressed whole; other
+columns pass by.
 """
 
 from __future__ import annotations
@@ -23,14 +25,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import fold, tidy
+from lumenframe.llm.common import fold, small, tidy
 
 RESULT_TYPE = "lang_pred string, score double, accepted boolean, margin double"
 WORD = re.compile(r"[^\W\d_]+")
-#: Documents of each language whose text makes its dictionary, and bytes taken of each and in all.
-TRAIN_DOCS, TRAIN_BYTES, DICT_BYTES = 150, 1_500, 96_000
-#: Languages with the most training rows that get a dictionary.
-MOST_LANGUAGES = 400
+#: Pieces of sampled texts that make the dictionary of a language, characters of each, and bytes of a dictionary.
+TRAIN_PIECES, PIECE_CHARS, DICT_BYTES = 150, 1_500, 96_000
+#: The least bytes that a raw-content dictionary may have.
+LEAST_BYTES = 8
 
 
 def letters(text: str) -> bytes:
@@ -82,43 +84,43 @@ class LanguageModel:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", n: int = 3, held: int = 1) -> LanguageModel:
-    """Dictionaries from documents outside the held-out fold.
+    """Dictionaries from documents outside the held-out fold, each by its own language's rows alone.
 
-    The choice of at most TRAIN_DOCS documents a language follows a hash of the
-    id; row_number() with such a bound is cut on the map side, so a language
-    with most rows is never gathered in one task.  Pieces of TRAIN_BYTES
-    characters from the middle of the sampled texts fill DICT_BYTES.
+    Texts are cut into pieces of PIECE_CHARS characters, and TRAIN_PIECES pieces
+    a language are chosen by a hash of id and place, so every part of every text
+    can be one; row_number() with such a bound is cut on the map side, so a
+    language with most rows is never gathered in one task.  The pieces fill
+    DICT_BYTES at most.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~fold("id", n, held)
     )
-    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    # a hash of the id thins each language to a few times the sample before the ranks are given
-    rows = rows.join(F.broadcast(most), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) * F.col("count") <= F.lit(4_000_000 * TRAIN_DOCS))
-    # the order holds the text's hash only; the text itself is fetched for the chosen rows
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "h")
-    few = (
-        rows.select("lang", "id", F.xxhash64("text").alias("h")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= TRAIN_DOCS).select("lang", "id", "k")
-    )
-    piece = F.expr(f"substring(text, greatest(1, int(length(text) / 2 - {TRAIN_BYTES // 2})), {TRAIN_BYTES})")
-    got = rows.select("id", "lang", piece.alias("piece")).join(F.broadcast(few), ["id", "lang"]).groupBy("lang", "id").agg(F.min("piece").alias("piece"), F.min("k").alias("k")).collect()
+    last = F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / PIECE_CHARS).cast("int")
+    size = rows.groupBy("lang").agg(F.sum(last + 1).alias("pieces"))
+    # a hash thins the pieces of each language to a few times the sample before the ranks are given
+    places = rows.select("lang", "id", F.xxhash64("text").alias("h"), F.explode(F.sequence(F.lit(0), last)).alias("no")).join(small(size), "lang")
+    places = places.where(F.pmod(F.xxhash64("id", "no"), F.lit(1_000_000)) * F.col("pieces") <= F.lit(4_000_000 * TRAIN_PIECES))
+    # the order holds the text's hash only; the piece itself is fetched for the chosen places
+    w = Window.partitionBy("lang").orderBy(F.xxhash64("id", "no"), "id", "no", "h")
+    few = places.select("lang", "id", "h", "no").distinct().withColumn("k", F.row_number().over(w)).where(F.col("k") <= TRAIN_PIECES)
+    few = few.select(F.col("lang").alias("l"), F.col("id").alias("i"), F.col("h").alias("x"), "no", "k")
+    same = (F.col("lang") == F.col("l")) & F.col("id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("x"))
+    piece = F.substring("text", F.col("no") * PIECE_CHARS + 1, F.lit(PIECE_CHARS))
+    got = rows.join(small(few), same).select("lang", "k", piece.alias("piece")).groupBy("lang", "k").agg(F.min("piece").alias("piece")).collect()
     by: dict[str, list] = {}
     for r in got:
-        by.setdefault(r.lang, []).append((r.k, r.id, r.piece))
+        by.setdefault(r.lang, []).append((r.k, r.piece))
     out = {}
     for name in sorted(by):
-        data, size = [], 0
-        for _, _, piece_text in sorted(by[name]):
-            b = letters(piece_text) + b"\n"
-            if size + len(b) > DICT_BYTES:
+        data, full = [], 0
+        for _, text in sorted(by[name]):
+            b = letters(text) + b"\n"
+            if full + len(b) > DICT_BYTES:
                 break
             data.append(b)
-            size += len(b)
-        if size >= 8:
-            out[name] = b"".join(data)
-    least = min((len(v) for v in out.values()), default=0)
-    even = max(least, 4_096)  # dictionaries of like size, so that none wins by size
-    return LanguageModel({k: v[-even:] for k, v in out.items()})
+            full += len(b)
+        out[name] = b"".join(data).ljust(LEAST_BYTES)
+    return LanguageModel(out)
 
 
 def identified(text: Column, model: LanguageModel) -> Column:
