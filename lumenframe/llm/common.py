@@ -138,15 +138,17 @@ def sampled_labels(labels: DataFrame, id_col: str, label: str, bound: int, n: in
     return half[0].unionAll(half[1])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60, balanced: bool = True) -> tuple[np.ndarray, float]:
-    """Ridge-penalised logistic regression by Newton steps."""
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60, balanced: bool = True, share: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Ridge-penalised logistic regression by Newton steps; ``share``: what each row counts."""
     n, d = x.shape
     a = np.hstack([x, np.ones((n, 1))])
     w = np.zeros(d + 1)
     if n == 0 or y.min() == y.max():
         w[-1] = 0.0 if n == 0 else (4.0 if y.max() else -4.0)
         return w[:-1], float(w[-1])
-    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) if balanced else np.ones(n)
+    share = np.ones(n) if share is None else share / share.mean()
+    positive = (share * y).mean()
+    weight = share * np.where(y == 1, 0.5 / max(positive, 1e-9), 0.5 / max(1 - positive, 1e-9)) if balanced else share
     reg = np.full(d + 1, l2 * n)
     reg[-1] = 1e-9
     for _ in range(steps):

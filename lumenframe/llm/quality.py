@@ -6,8 +6,8 @@ a chunk, and the mean, largest and smallest pooled value over the chunks go
 through one logistic unit.  As the input is one-hot bytes, a filter is a table
 look-up; two neighbouring bytes share one table when scoring.
 
-Defined cases: a null or empty text is one chunk of zero bytes; repeated rows
-score alike; an empty table gives an empty result; without training rows of
+Defined cases: a null or empty text is one chunk of zero bytes; texts of any
+length are read whole; other columns pass by; repeated rows score alike; an empty table gives an empty result; without training rows of
 both classes the score is the share of the class there is (0.5 without any).
 """
 
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import logistic, sampled_labels, sigmoid, tidy
 
 WIDTH, FILTERS, BLOCK = 6, 16, 128  # a chunk is two blocks, so chunks overlap by half
-#: Documents of either class, and chunks of each, that the fit reads.
-TRAIN_DOCS, TRAIN_CHUNKS = 1_200, 24
+#: Documents of either class that the fit takes; they are cut into pieces of so many chunks, of which it reads so many.
+TRAIN_DOCS, PIECE_CHUNKS, TRAIN_PIECES = 1_200, 24, 6_000
 EPOCHS, BATCH, RATE = 6, 48, 0.02
 
 
@@ -97,14 +97,18 @@ class QualityModel:
         return sigmoid(np.array([self.features(t) for t in texts], dtype=np.float64) @ self.head + self.intercept)
 
 
-def fit(chunks: list[np.ndarray], y: np.ndarray, seed: int = 7) -> QualityModel:
-    """Adam on the filters with the gradient of max-pooling; the head is then refitted."""
+def fit(chunks: list[np.ndarray], y: np.ndarray, seed: int = 7, share: np.ndarray | None = None) -> QualityModel:
+    """Adam on the filters with the gradient of max-pooling; the head is then refitted.
+
+    ``share``: what each row counts, 1 unless it is a piece of a document.
+    """
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.25, (WIDTH, 256, FILTERS))
     bias = np.full(FILTERS, -0.6)
     head = rng.normal(0, 0.3, 3 * FILTERS)
     c = np.zeros(1)
     y = np.asarray(y, dtype=float)
+    share = np.ones(len(y)) if share is None else share
     if len(y) == 0 or y.min() == y.max():
         p = 0.5 if len(y) == 0 else (0.98 if y[0] else 0.02)
         return QualityModel(table, bias, np.zeros(4 * FILTERS + 1), float(np.log(p / (1 - p))))
@@ -116,11 +120,12 @@ def fit(chunks: list[np.ndarray], y: np.ndarray, seed: int = 7) -> QualityModel:
         at = int(rng.integers(max(1, len(row) - n)))
         short = np.zeros((1, 2 * BLOCK + WIDTH - 1), dtype=np.uint8)
         short[0, : len(row[at : at + n])] = row[at : at + n]
-        more.append((short, y[i]))
-    chunks, y = chunks + [x for x, _ in more], np.concatenate([y, [v for _, v in more]])
+        more.append((short, y[i], share[i]))
+    chunks, y, share = chunks + [x for x, _, _ in more], np.concatenate([y, [v for _, v, _ in more]]), np.concatenate([share, [v for _, _, v in more]])
     params = [table, bias, head, c]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    class_weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    mean_label = (share * y).sum() / share.sum()
+    class_weight = share / share.mean() * np.where(y == 1, 0.5 / mean_label, 0.5 / (1 - mean_label))
     size, t = 2 * BLOCK, 0
 
     def forward(rows: np.ndarray):
@@ -172,32 +177,40 @@ def fit(chunks: list[np.ndarray], y: np.ndarray, seed: int = 7) -> QualityModel:
         _, a = forward(np.concatenate(part))
         z = np.hstack(gather(a, np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes))
         reps.append(with_size(z, np.array([(x != 0).sum() if len(x) == 1 else 4 * BLOCK for x in part])))
-    w, b = logistic(np.concatenate(reps), y, l2=3e-4)
+    w, b = logistic(np.concatenate(reps), y, l2=3e-4, share=share)
     return QualityModel(table, bias, w, b)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", train_docs: int = TRAIN_DOCS) -> QualityModel:
     """Fits on at most ``train_docs`` labelled documents of each class outside the held-out fold.
 
-    The executors cut the texts; of each document at most TRAIN_CHUNKS chunks,
-    spread evenly over the whole text, come to the driver.
+    The executors cut the whole texts into pieces.  At most TRAIN_PIECES pieces,
+    chosen by a hash of id and place from any part of any of these texts, come
+    to the driver; each counts as its share of the document.
     """
     ids = sampled_labels(labels, id_col, label, train_docs)
     size = 2 * BLOCK + WIDTH - 1
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for text in pdf["text"]:
+            for ident, value, text in zip(pdf["id"], pdf["label"], pdf["text"], strict=True):
                 rows = chunk_windows((text if isinstance(text, str) else "").encode("utf-8", "replace"))
-                pick = np.unique(np.linspace(0, len(rows) - 1, min(len(rows), TRAIN_CHUNKS)).astype(int))
-                out.append(np.ascontiguousarray(rows[pick]).tobytes())
-            yield pd.DataFrame({"id": pdf["id"], "label": pdf["label"], "chunks": out})
-
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").select("id", "label", "text")
+                n = -(-len(rows) // PIECE_CHUNKS)
+                for a in range(0, n, 256):  # some pieces at a time
+                    nos = range(a, min(n, a + 256))
+                    parts = [np.ascontiguousarray(rows[k * PIECE_CHUNKS : (k + 1) * PIECE_CHUNKS]).tobytes() for k in nos]
+                    yield pd.DataFrame({"id": [ident] * len(nos), "label": [value] * len(nos), "no": list(nos), "n": [n] * len(nos), "chunks": parts})
+
+    chosen = (
+        docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(ids), "id")
+        .groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label")).select("id", "label", "text")
+    )
     id_type = chosen.schema["id"].dataType.simpleString()
-    got = sorted({(r.id, r.label, bytes(r.chunks)) for r in chosen.mapInPandas(cut, f"id {id_type}, label int, chunks binary").collect()})
-    return fit([np.frombuffer(x, dtype=np.uint8).reshape(-1, size) for _, _, x in got], np.array([v for _, v, _ in got]))
+    pieces = chosen.mapInPandas(cut, f"id {id_type}, label int, no int, n int, chunks binary")
+    # places first, so that the sort holds no bytes; a place is cut again where it was chosen
+    few = pieces.select("id", "no").orderBy(F.xxhash64("id", "no"), "id", "no").limit(TRAIN_PIECES)
+    got = sorted((r.id, r.no, r.label, r.n, bytes(r.chunks)) for r in pieces.join(F.broadcast(few), ["id", "no"]).collect())
+    return fit([np.frombuffer(x[4], dtype=np.uint8).reshape(-1, size) for x in got], np.array([x[2] for x in got]), share=np.array([1 / x[3] for x in got]))
 
 
 def scored(text: Column, model: QualityModel) -> Column:
