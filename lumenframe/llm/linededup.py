@@ -1,7 +1,9 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame operations only.
 
-A line goes if an earlier line, by (document id, line number), is equal to it
-or within one edit (a character inserted, deleted or replaced).  Two lines are
+A line that isn't blank goes if an earlier line, by (document id, line number),
+is equal to it, or, where both have ``edit_chars`` characters at least, within
+one edit (a character inserted, deleted or replaced): among shorter lines one
+character makes another word.  Two lines are
 within one edit exactly if they share a variant: a line itself, or a line less
 one character.
 
@@ -20,8 +22,8 @@ one character.
     is expanded into pairs.
 5.  Every pair is verified by its edit distance.
 
-Defined cases: null and empty texts have no lines to remove; blank and short
-lines (``min_chars`` after trimming) always stay; equal ids (repeated rows) are
+Defined cases: null and empty texts have no lines to remove; blank lines always
+stay; lines of any length and number take part; equal ids (repeated rows) are
 one document, so their copies of a line at one place all stay; a null id sorts
 first; an empty table gives an empty result; other columns pass through.
 """
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.common import materialize, small
 
-MIN_CHARS = 16
+#: Characters, after trimming, from which lines are compared by edits; shorter ones by equality.
+EDIT_CHARS = 16
 BLANKS = " \t\r\x0b\x0c"
 
 
@@ -51,22 +54,22 @@ def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Lines that take part: id, no, line (trimmed), n, h1, h2."""
     rows = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "raw"))
     rows = rows.select("id", "no", F.btrim("raw", F.lit(BLANKS)).alias("line"))
-    rows = rows.withColumn("n", F.char_length("line")).where(F.col("n") >= min_chars)
+    rows = rows.withColumn("n", F.char_length("line")).where("n > 0")
     return rows.select("id", "no", "line", "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2"))
 
 
-def half_keys() -> list[Column]:
-    """Keys of the first and last half, for the line as the shorter one (role 0) and as the longer one (role 1)."""
+def half_keys(edit_chars: int) -> list[Column]:
+    """Of lines that are compared by edits, keys of the first and last half, for the line as the shorter one (role 0) and as the longer one (role 1)."""
     out = []
     for role in (0, 1):
         m = F.col("n") - role
         half = F.expr(f"int((n - {role}) / 2)")
-        out.append(F.xxhash64(F.lit("first"), m, F.left("line", half)).alias(f"first{role}"))
-        out.append(F.xxhash64(F.lit("last"), m, F.right("line", half)).alias(f"last{role}"))
+        for kind, part in (("first", F.left("line", half)), ("last", F.right("line", half))):
+            out.append(F.when(F.col("n") >= edit_chars, F.xxhash64(F.lit(kind), m, part)).alias(f"{kind}{role}"))
     return out
 
 
@@ -135,19 +138,19 @@ def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     return checked.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("h1"), F.when(later, F.col("a_h2")).otherwise(F.col("b_h2")).alias("h2")).distinct()
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, max_edits: int = 1) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edit_chars: int = EDIT_CHARS, max_edits: int = 1) -> DataFrame:
     """One row for each document that loses lines: __lf_id, __lf_gone (array of (no, h1))."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
-    lines = lines_of(docs, id_col, text_col, min_chars)
+    lines = lines_of(docs, id_col, text_col)
     distinct = (
-        lines.select("h1", "h2", "n", F.struct("id", "no").alias("at"), *half_keys()).groupBy("h1", "h2")
+        lines.select("h1", "h2", "n", F.struct("id", "no").alias("at"), *half_keys(edit_chars)).groupBy("h1", "h2")
         .agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), *[F.any_value(c).alias(c) for c in ("n", "first0", "first1", "last0", "last1")])
         .select("h1", "h2", F.col("first_at.id").alias("id"), F.col("first_at.no").alias("no"), (F.col("first_at") != F.col("last_at")).alias("again"), "n", "first0", "first1", "last0", "last1")
     )
     distinct, _ = materialize(distinct, "lines")
     if max_edits:
-        near = near_lines(lines, distinct).withColumn("near", F.lit(True))
+        near = near_lines(lines, distinct.where(F.col("n") >= edit_chars)).withColumn("near", F.lit(True))
         marked = distinct.select("h1", "h2", "id", "no", "again").join(near, ["h1", "h2"], "left").where("again or near")
     else:
         marked = distinct.where("again").select("h1", "h2", "id", "no", F.lit(False).alias("near"))
@@ -160,9 +163,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return gone.groupBy(F.col("id").alias("__lf_id")).agg(F.collect_set(F.struct("no", "h1")).alias("__lf_gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, max_edits: int = 1) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edit_chars: int = EDIT_CHARS, max_edits: int = 1) -> DataFrame:
     """``docs`` with the kept lines as text, and __lf_lines, __lf_removed: counts of lines."""
-    gone, _ = materialize(removed_lines(docs, id_col, text_col, min_chars, max_edits), "lines-gone")
+    gone, _ = materialize(removed_lines(docs, id_col, text_col, edit_chars, max_edits), "lines-gone")
     joined = docs.join(small(gone), F.col(id_col).eqNullSafe(F.col("__lf_id")), "left")
 
     def kept(parts: Column) -> Column:

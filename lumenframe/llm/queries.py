@@ -109,12 +109,13 @@ ORACLES: dict[str, str] = {
         WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL),
         raws AS (SELECT doc_id, unnest(p) AS raw, generate_subscripts(p, 1) - 1 AS no FROM parts),
         lines AS (SELECT doc_id, no, raw, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM raws),
-        firsts AS (SELECT line, min(ROW(doc_id, no)) AS pos FROM lines WHERE length(line) >= {linededup.MIN_CHARS} GROUP BY line),
-        cut AS (SELECT line, pos, i, left(line, i) || substring(line, i + 2) AS v FROM (SELECT line, pos, unnest(range(length(line))) AS i FROM firsts) AS x),
+        firsts AS (SELECT line, min(ROW(doc_id, no)) AS pos FROM lines WHERE line <> '' GROUP BY line),
+        long AS (SELECT * FROM firsts WHERE length(line) >= {linededup.EDIT_CHARS}),
+        cut AS (SELECT line, pos, i, left(line, i) || substring(line, i + 2) AS v FROM (SELECT line, pos, unnest(range(length(line))) AS i FROM long) AS x),
         near AS (
             SELECT a.line FROM cut a JOIN cut b ON a.v = b.v AND a.i = b.i WHERE a.line <> b.line AND b.pos < a.pos
-            UNION SELECT a.line FROM cut a JOIN firsts b ON a.v = b.line WHERE b.pos < a.pos
-            UNION SELECT b.line FROM cut a JOIN firsts b ON a.v = b.line WHERE a.pos < b.pos
+            UNION SELECT a.line FROM cut a JOIN long b ON a.v = b.line WHERE b.pos < a.pos
+            UNION SELECT b.line FROM cut a JOIN long b ON a.v = b.line WHERE a.pos < b.pos
         ),
         marked AS (
             SELECT l.doc_id, l.no, l.raw, f.line IS NOT NULL AND (n.line IS NOT NULL OR ROW(l.doc_id, l.no) > f.pos) AS gone
