@@ -4,7 +4,8 @@ All pieces of a SentencePiece model stand in one Aho-Corasick automaton.  A
 single pass over a text follows its output links: every piece that ends at a
 position relaxes the best score there, so the pass ends with the segmentation
 of highest total score (of equal ones, the one whose last pieces are longer).
-Characters that no piece covers become byte pieces, at a score below any piece.
+A character that isn't a piece by itself may also become byte pieces, at a score
+below any piece.
 
 A blank is the mark U+2581, and a text starts with one.  No piece of the usual
 models has the mark after another character, so units between such places are
@@ -14,7 +15,9 @@ and nothing is normalised, so decoding gives back every text exactly.
 
 Defined cases: a null or empty text has no ids and decodes as empty; ids that
 aren't pieces raise; bytes that aren't UTF-8 decode as U+FFFD; repeated rows are
-encoded each; an empty table gives an empty result; other columns pass by.
+encoded each; an empty table gives an empty result; texts of any length are
+encoded whole; a carried column named ``ids`` or ``decoded`` gives way to the
+result.
 """
 
 from __future__ import annotations
@@ -35,20 +38,23 @@ MARK = "▁"
 #: Stands for a mark of the text itself while it is segmented; in no piece.
 OWN_MARK = "﷐"
 UNKNOWN_PENALTY = 10.0
-KEEP_UNITS = 600_000
+#: Characters of the units that a worker keeps.
+KEEP_CHARS = 5_000_000
 UNITS = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 
 
 class PieceModel:
     """Pieces of a SentencePiece model and the units segmented so far."""
 
-    def __init__(self, model: bytes, keep: int = KEEP_UNITS):
+    def __init__(self, model: bytes, keep: int = KEEP_CHARS):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.automaton, self.keep, self.seen = ahocorasick.Automaton(), keep, {}
         self.bytes_of: list[bytes] = []
         self.byte_ids: dict[int, int] = {}
+        self.single: set[str] = set()
+        self.kept = 0  # characters of the units seen
         least, spans = 0.0, False
         for i in range(sp.get_piece_size()):
             piece, out = sp.id_to_piece(i), b""
@@ -59,6 +65,8 @@ class PieceModel:
                 score = sp.get_score(i)
                 least = min(least, score)
                 self.automaton.add_word(piece, (len(piece), i, score))
+                if len(piece) == 1:
+                    self.single.add(piece)
                 spans |= MARK in piece.lstrip(MARK) or "\n" in piece
                 out = piece.replace(MARK, " ").encode()
             self.bytes_of.append(out)
@@ -70,18 +78,18 @@ class PieceModel:
         """Ids of the best segmentation of a unit, with blanks as they are."""
         text, n = raw.replace(MARK, OWN_MARK).replace(" ", MARK), len(raw)
         best, via = [0.0] + [None] * n, [None] * (n + 1)
-        done, unknown = 0, self.unknown_score
+        done, unknown, single = 0, self.unknown_score, self.single
         for end, (size, piece, score) in self.automaton.iter(text):
-            while done < end:  # positions that no piece has reached, or has reached no better
-                if best[done + 1] is None:
+            while done <= end:  # no piece is one character here: the step over it is always open
+                if text[done] not in single:
                     best[done + 1] = best[done] + unknown
                 done += 1
             value = best[end + 1 - size] + score
-            if best[end + 1] is None or value > best[end + 1]:
+            held = best[end + 1]
+            if held is None or value > held or (value == held and via[end + 1] is None):
                 best[end + 1], via[end + 1] = value, (size, piece)
         while done < n:
-            if best[done + 1] is None:
-                best[done + 1] = best[done] + unknown
+            best[done + 1] = best[done] + unknown
             done += 1
         out, at = [], n
         while at:
@@ -97,14 +105,16 @@ class PieceModel:
     def _unit(self, unit: str) -> bytes:
         ids = np.array(self.segment(unit), dtype="<u4").tobytes()
         self.seen[unit] = ids
+        self.kept += len(unit)
         return ids
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
-        if len(self.seen) > self.keep:
+        if self.kept > self.keep:
             self.seen.clear()
+            self.kept = 0
         text, known = " " + text, self.seen
         units = [text] if self.whole else UNITS.findall(text)
         try:
@@ -133,6 +143,7 @@ def loaded(model: bytes) -> PieceModel:
 def encoded(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """id, the columns of ``carry``, and ids (binary, little-endian unsigned 32-bit)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    carry = tuple(c for c in carry if c not in (id_col, "ids"))
     rows = docs.select(F.col(id_col), F.col(text_col).alias("__lf_text"), *carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +158,7 @@ def encoded(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 
 def decoded(rows: DataFrame, model: bytes) -> DataFrame:
     """All columns, and the text that ``ids`` stand for as ``decoded``."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+    sent, rows = rows.sparkSession.sparkContext.broadcast(model), rows.drop("decoded")
     at = rows.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -477,6 +477,43 @@ def test_pieces_are_the_best_segmentation(piece_file):
         assert sp.decode(ids) == text
 
 
+def unigram_file(pieces):
+    """A model file by hand: pieces with scores, unigram, nothing normalised; fields as protocol buffers write them."""
+    import struct
+
+    varint = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+    field = lambda no, data: varint(no << 3 | 2) + varint(len(data)) + data
+    out = b""
+    for i, (text, score) in enumerate([("<unk>", 0.0), ("<s>", 0.0), ("</s>", 0.0), *pieces]):
+        out += field(1, field(1, text.encode()) + varint(2 << 3 | 5) + struct.pack("<f", score) + varint(3 << 3) + varint(2 if i == 0 else 3 if i < 3 else 1))
+    trainer = varint(3 << 3) + varint(1)
+    normalizer = field(1, b"identity") + b"".join(varint(k << 3) + varint(v) for k, v in ((3, 1), (4, 0), (5, 1)))
+    return out + field(2, trainer) + field(3, normalizer)
+
+
+def test_unigram_ids_are_the_library_s():
+    import sentencepiece
+
+    rng = np.random.default_rng(6)
+    names = sorted({"▁" * int(rng.integers(0, 2)) + "".join(rng.choice(list("abcde"), int(rng.integers(1, 5)))) for _ in range(160)} | {"▁", *"abcd"})  # e isn't a piece for certain
+    raw = unigram_file([(x, float(np.float32(-rng.uniform(1, 12)))) for x in names if x != "e"])
+    sp, m = sentencepiece.SentencePieceProcessor(model_proto=raw), pieces.PieceModel(raw)
+    for _ in range(400):
+        text = "".join(rng.choice(list("abcdef    "), int(rng.integers(1, 40))))
+        want, got, run = sp.encode(text), [], False
+        for i in np.frombuffer(m.encode(text), dtype="<u4").tolist():  # the library joins neighbours that are unknown
+            if not (i == sp.unk_id() and run):
+                got.append(i)
+            run = i == sp.unk_id()
+        assert got == want, (text, sp.encode(text, out_type=str))
+
+
+def test_carried_columns_give_way(spark, piece_file):
+    docs = docs_of(spark, ["a b", None]).withColumn("ids", F.lit("x")).withColumn("decoded", F.lit(3))
+    got = pieces.decoded(pieces.encoded(docs, piece_file, carry=("ids", "decoded", "lang")), piece_file)
+    assert sorted(got.columns) == ["decoded", "doc_id", "ids", "lang"] and {r.doc_id: r.decoded for r in got.collect()} == {0: "a b", 1: ""}
+
+
 def test_pieces_round_trip(spark, piece_file):
     texts = [*ODD, "▁ a mark ▁▁", " lead", "  two", "trail  ", "\n \n", pieces.OWN_MARK, "a\x00b", prose(2, 3000)]
     docs = docs_of(spark, texts)
@@ -497,12 +534,16 @@ def test_any_text_comes_back(text):
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
+    """Edits, a swap of neighbours being one."""
+    rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
-        row, prev = [i], row
+        row = [i]
         for j, y in enumerate(b, 1):
-            row.append(min(prev[j] + 1, row[-1] + 1, prev[j - 1] + (x != y)))
-    return row[-1]
+            row.append(min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y)))
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                row[-1] = min(row[-1], rows[-2][j - 2] + 1)
+        rows.append(row)
+    return rows[-1][-1]
 
 
 def test_automaton_is_edit_distance():
@@ -512,6 +553,7 @@ def test_automaton_is_edit_distance():
     words = [*terms, *("".join(rng.choice(list("stupidofrah"), rng.integers(1, 9))) for _ in range(400))]
     for t in terms:
         words += [t[:i] + t[i + 1 :] for i in range(len(t))] + [t[:i] + "x" + t[i:] for i in range(len(t) + 1)] + [t[:i] + "x" + t[i + 1 :] for i in range(len(t))]
+        words += [t[:i] + t[i + 1] + t[i] + t[i + 2 :] for i in range(len(t) - 1)]
     for w in words:
         best = min((distance(w, t), t) for t in terms if distance(w, t) <= (1 if len(t) >= 5 else 0)) if any(distance(w, t) <= (1 if len(t) >= 5 else 0) for t in terms) else None
         got = auto.match(w)
@@ -526,10 +568,15 @@ def test_toxicity_learns_and_tells_quotation_from_abuse(spark):
     docs = docs_of(spark, pos + neg)
     labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
-    s = model.score(["you filthyword", "you filthywrod x", "you fillthyword", 'he said "filthyword" and left', prose(1, 30), None, ""]).score.tolist()
-    assert s[0] > 0.3 and s[2] > 0.3 and s[3] < s[0] and max(s[4:]) < 0.3
+    s = model.score(["you filthyword", "you filthywrod x", "you fillthyword", "you flithyword", 'he said "filthyword" and left', prose(1, 30), None, ""]).score.tolist()
+    assert min(s[:4]) > 0.3 and s[4] < s[0] and max(s[5:]) < 0.3
     kept = toxicity.reject_toxic(clashing(docs), model)
     assert {r.doc_id for r in kept.collect()} == set(range(60, 120)) and kept.columns == clashing(docs).columns
+    same = toxicity.fit([(t, int(i < 60)) for i, t in enumerate(pos + neg) if zlib.crc32(str(i).encode()) % 4 != 2])
+    assert same.terms == model.terms and same.plain == model.plain and same.weights == pytest.approx(model.weights)
+    again = docs.unionAll(docs).unionAll(docs_of(spark, ["word " * 60_000 + pos[0], None], [0, 7]))  # repeated rows, a very long text, a null
+    assert toxicity.train(again, labels.unionAll(labels)).terms.keys() == model.terms.keys()
+    assert model.score(["word " * 60_000 + "you filthyword"]).hits.tolist() == model.score(["you filthyword"]).hits.tolist()
     empty = toxicity.train(docs, labels.limit(0))
     assert max(empty.score(pos[:3]).score) < 0.3 and toxicity.reject_toxic(docs_of(spark, []), model).count() == 0
 
@@ -549,22 +596,35 @@ def test_learned_stems_leave_their_words_their_edits():
 # 9 line dedup
 
 
-def brute_lines(texts, min_chars=linededup.MIN_CHARS):
-    seen, out = [], []
+def brute_lines(texts, edit_chars=linededup.EDIT_CHARS):
+    """What stays of each text; lines are held against all earlier ones, those within one edit being found by their variants."""
+    whole, variants, out = set(), {}, []
     for t in texts:
         kept = []
         for raw in (t or "").split("\n"):
             line = raw.strip(linededup.BLANKS)
-            if len(line) < min_chars:
+            if not line:
                 kept.append(raw)
                 continue
-            if not any(abs(len(line) - len(x)) <= 1 and distance(line, x) <= 1 for x in seen):
+            gone = line in whole
+            if not gone and len(line) >= edit_chars:
+                own = {line, *(line[:i] + line[i + 1 :] for i in range(len(line)))}
+                gone = any(abs(len(line) - len(x)) <= 1 and distance(line, x) <= 1 and not swapped(line, x) for v in own for x in variants.get(v, ()))
+            if not gone:
                 kept.append(raw)
-            seen.append(line)  # a removed line counts as an earlier one as well
+            if line not in whole and len(line) >= edit_chars:  # a removed line counts as an earlier one as well
+                for v in {line, *(line[:i] + line[i + 1 :] for i in range(len(line)))}:
+                    variants.setdefault(v, []).append(line)
+            whole.add(line)
         out.append("\n".join(kept) if t is not None else None)
     return out
 
 
+def swapped(a, b):
+    """Two neighbours stand the other way round: one edit to the automaton, two here."""
+    return len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 2
+
+
 def test_line_dedup(spark):
     rng = np.random.default_rng(8)
     base = ["".join(rng.choice(list("abc de漢🙂"), 24)) for _ in range(12)]
@@ -573,7 +633,7 @@ def test_line_dedup(spark):
         at = int(rng.integers(1, len(b) - 1))
         lines += [b[:at] + b[at + 1 :], b[:at] + "z" + b[at:], b[:at] + "z" + b[at + 1 :], b, "  " + b + " ", b[:at] + "zz" + b[at:]]
     rng.shuffle(lines)
-    texts = [None, "", "\n\n", "short\nshort", *["\n".join(lines[i : i + 4]) for i in range(0, len(lines), 4)]]
+    texts = [None, "", "\n\n", "short\nshort", "shorT\n short\nx", "x\ny", *["\n".join(lines[i : i + 4]) for i in range(0, len(lines), 4)]]
     docs = clashing(docs_of(spark, texts))
     got = {r.doc_id: r for r in linededup.dedup_lines(docs).collect()}
     want = brute_lines(texts)
@@ -627,8 +687,8 @@ def test_pipeline_stages_against_brute_force(spark):
         assert after.keys() <= before.keys() and len(after) == out.count()
         if name == "line_dedup":
             order = sorted(before)
-            want = dict(zip(order, brute_lines([before[i].text for i in order]), strict=True)) if sum(len(before[i].text or "") for i in order) < 50_000 else None
-            assert after.keys() == before.keys() and (want is None or {i: after[i].text for i in order} == want)
+            want = dict(zip(order, brute_lines([before[i].text for i in order]), strict=True))
+            assert {i: after[i].text for i in order} == want
         if name == "simhash":
             sets = {i: set(nearcopies.shingle_set(nearcopies.normal_words(r.text), 5).tolist()) for i, r in before.items()}
             link = lambda a, b: (not sets[a] and not sets[b]) or bool(sets[a] | sets[b]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9  # noqa: E731, B023
