@@ -6,9 +6,10 @@ import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,8 +89,6 @@ def small(df: DataFrame, row_bytes: int = 72) -> DataFrame:
 
 def trim() -> None:
     """Gives what a task has freed back to the system, as worker processes outlive tasks."""
-    import pyarrow as pa
-
     pa.default_memory_pool().release_unused()
     release = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if release is not None:
@@ -106,6 +105,31 @@ def tidy(run: Callable) -> Callable:
     return whole
 
 
+def by_list(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """Applies ``run`` (table, bounds of its lists) to whole lists; ``rows``: g and others, with each g in one partition and sorted."""
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def of(t: pa.Table) -> pa.RecordBatch:
+            t = t.combine_chunks()
+            g = t.column("g").to_numpy()
+            return run(t, np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1, [len(g)]]).tolist())
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            g = held.column("g").to_numpy()
+            cut = int(np.searchsorted(g == g[-1], True)) if g[0] != g[-1] else 0  # the last list may go on
+            if cut:
+                yield of(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and len(held):
+            yield of(held)
+
+    return rows.mapInArrow(tidy(lists), schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder.
 

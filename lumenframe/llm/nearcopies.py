@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import materialize, tidy
+from lumenframe.llm.common import by_list, materialize, tidy
 
 BANDS, ROWS, LIST, WIDE_BITS, PIVOTS = 16, 4, 512, 256, 16
 _RNG = np.random.default_rng(20)
@@ -134,31 +134,6 @@ def band_lists(reps: DataFrame) -> DataFrame:
     return rows
 
 
-def by_list(rows: DataFrame, run, schema: str) -> DataFrame:
-    """Applies ``run`` (table, bounds of its lists) to whole lists; ``rows``: g and others, sorted by g."""
-
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def of(t: pa.Table) -> pa.RecordBatch:
-            t = t.combine_chunks()
-            g = t.column("g").to_numpy()
-            return run(t, np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1, [len(g)]]).tolist())
-
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            g = held.column("g").to_numpy()
-            cut = int(np.searchsorted(g == g[-1], True)) if g[0] != g[-1] else 0  # the last list may go on
-            if cut:
-                yield of(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and len(held):
-            yield of(held)
-
-    return rows.mapInArrow(tidy(lists), schema)
-
-
 def pairs_of(t: pa.Table, got: list[tuple[int, int]], of: str = "rep") -> pa.RecordBatch:
     rep = t.column(of)
     return pa.RecordBatch.from_arrays([rep.take(pa.array([p[k] for p in got], pa.int64())).combine_chunks() for k in (0, 1)], ["a", "b"])

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm import nearcopies
-from lumenframe.llm.common import materialize, small, tidy
+from lumenframe.llm.common import by_list, materialize, small, tidy
 from lumenframe.llm.components import components, few_components
 
 WORDS, MAX_BITS, LIST = 3, 2, 256
@@ -156,7 +156,7 @@ def links(reps: DataFrame, max_bits: int = MAX_BITS, most: int = LIST) -> DataFr
         dist = np.frombuffer(b"".join(t.column("dist").to_pylist()), dtype=np.uint8).reshape(-1, len(PIVOTS))
         return nearcopies.pairs_of(t, joined_pairs(g, fp.view(np.uint64), dist, max_bits), "fp")
 
-    found = nearcopies.by_list(lists.select(F.col("key").alias("g"), "fp", "dist"), run, "a long, b long")
+    found = by_list(lists.select(F.col("key").alias("g"), "fp", "dist"), run, "a long, b long")
     return found.where("a != b")
 
 

@@ -1,45 +1,52 @@
 """Exact top-k search by inner product, by a three-phase uniform threshold.
 
-Every task holds whole rows of vectors.  A score is the sum over LISTS local
-score lists, one for each slice of the components.
-
-1.  Gather: each task takes the k best rows of each of its lists, with their
-    full scores.  The k-th best of these over all tasks is a safe cutoff: at
-    least k rows reach it.
-2.  Collect: the cutoff of each query is broadcast.  With scores shifted by the
-    lowest value of each list, a row that reaches the cutoff has in some list at
-    least the cutoff's even share, so each task collects just those entries.
-3.  Resolve: the full scores of what was collected are added up exactly, and
-    the k best rows at or above the cutoff are kept, ties by smaller id.
-
-Queries go in blocks of QUERY_BLOCK rows, so what is broadcast (a block of query
-vectors, a block of cutoffs) has a fixed bound; each task reports k rows a query
-at most, so neither equal vectors nor ties gather in one place.
+A score is the sum of LISTS local scores, one for each slice of the components.
+Rows are dealt into blocks by a hash, and each block is cut into its slices, so
+the lists of a row stand in different tasks and none sees a whole score.
+Queries are cut the same way, and each task holds one block of rows against one
+block of queries in one slice.
+
+1.  Gather: every list reports its k best rows for each query.  The scores of
+    the k best of each list are resolved exactly; the k-th best of them is a
+    safe cutoff, as at least k rows reach it.
+2.  Collect: the cutoffs go to the tasks with the blocks of queries.  A row
+    that reaches the cutoff has its even share of it in some list, so each list
+    reports just the entries that reach that share.
+3.  Resolve: rows that all lists have reported have their score.  The k-th best
+    of those raises the cutoff; a row that one list hasn't reported has less
+    than the share there, so what can't reach the cutoff goes, and the missing
+    scores of what is left are looked up and added exactly.
+
+Of rows with one vector only the 2k of smallest id (k at most with one id) can
+be among the results, so further copies are dropped before; neither equal
+vectors nor ties gather in one place.  Nothing passes through the driver but
+counts, and nothing is broadcast.
 
 Defined cases: null vectors, vectors with a null or non-finite component and
 rows with a null id take no part; vectors of different lengths count as padded
 with zeros; an empty vector scores 0; rows with the query's id are its own,
 other repeated rows count each; repeated query rows (same id and vector) are
-one query; no candidates give no rows; scores beyond 64 bits are cut off there.
+one query; no candidates give no rows; scores beyond 64 bits are cut off there
+(local ones at 37 digits); other columns take no part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import batched
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import scratch
+from lumenframe.llm.common import by_list, materialize, tidy
 
-LISTS, QUERY_BLOCK = 2, 16_384
-#: Scores that a task holds at once.
-CELLS = 2_000_000
-SCALE = 256
-LOW = np.iinfo(np.int64).min
+LISTS, SCALE = 2, 256
+#: Rows and queries of a block, about, and bytes of its slice at most.
+ROW_BLOCK, QUERY_BLOCK, SLICE_BYTES = 4096, 1024, 4 << 20
+#: Places in a block are counted below this bit of a number.
+PLACE = 20
+DIGITS = pa.decimal128(38, 0)
+SCHEMA = "query_id long, rank int, vec_id long, score long"
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -49,149 +56,190 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~bad)
 
 
-def matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
-    """floor(SCALE * x) of each component, as whole numbers; rows are padded or cut to ``width``."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    size = np.diff(column.offsets.to_numpy())
+def first_copies(rows: DataFrame, k: int) -> DataFrame:
+    """Of rows with one vector, those that can be among k results; ranks are cut before the exchange too."""
+    h = ["h1", "h2"]
+    rows = rows.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit("second"), F.col("v"))})
+    for keys, most in ((["id", *h], k), (h, 2 * k)):
+        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("n") <= most)
+    return rows.select("id", "v")
+
+
+def slices(rows: DataFrame, blocks: int, width: int, names: tuple[str, str, str]) -> DataFrame:
+    """list, and by ``names``: number, ids and values of each block of ``rows`` (id, v), one row for each list."""
+    dealt = rows.select(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).alias("g"), "id", "v")
+    dealt = dealt.repartition("g").sortWithinPartitions("g", "id")
+    edges = [width * i // LISTS for i in range(LISTS + 1)]
+
+    def run(t: pa.Table, bounds: list[int]) -> pa.RecordBatch:
+        ids, g = t.column("id").to_numpy(), t.column("g").to_numpy()
+        out = []
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            x = matrix(t.column("v").slice(a, b - a), width)
+            own = [np.ascontiguousarray(x[:, p:q]) for p, q in zip(edges, edges[1:], strict=False)]
+            out += [(n, int(g[a]), ids[a:b].tobytes(), pack(s)) for n, s in enumerate(own)]
+        cols = list(zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["list", *names])
+
+    return by_list(dealt, run, f"list int, {names[0]} long, {names[1]} binary, {names[2]} binary")
+
+
+def matrix(column, width: int) -> np.ndarray:
+    """floor(SCALE * x) of each component, as whole numbers; rows are padded with zeros."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = pc.list_value_length(column).to_numpy(zero_copy_only=False)
     flat = np.floor(SCALE * column.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
-    most = int(size.max(initial=0))
-    width = most if width is None else width
-    if len(size) and size.min() == most:
-        out = flat.reshape(len(size), most)[:, :width]
-    else:
-        out = np.zeros((len(size), most))
-        out[np.arange(most)[None, :] < size[:, None]] = flat
-        out = out[:, :width]
-    return out if out.shape[1] == width else np.hstack([out, np.zeros((len(out), width - out.shape[1]))])
-
-
-def partial_scores(q: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
-    """One (queries, rows) matrix for each list; exact whole numbers."""
+    if len(size) and size.min() == width:
+        return flat.reshape(len(size), width)
+    out = np.zeros((len(size), width))
+    out[np.arange(width)[None, :] < size[:, None]] = flat
+    return out
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers in two bytes each where they fit, else in eight."""
+    small = not x.size or np.abs(x).max() < 2**15
+    return (b"2" if small else b"8") + x.astype("<i2" if small else "<f8").tobytes()
+
+
+def unpack(data: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(data, dtype="<i2" if data[:1] == b"2" else "<f8", offset=1).reshape(rows, -1).astype(np.float64)
+
+
+def exact(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as a type in which sums of products are exact."""
     bound = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(1, q.shape[1])
     if bound < 2**53:
         kind = np.float32 if bound < 2**24 else np.float64
-        cast = lambda a: a.astype(kind)
-    elif bound < 2**62:
-        cast = lambda a: a.astype(np.int64)
-    else:
-        cast = lambda a: np.array([[int(v) for v in row] for row in a], dtype=object).reshape(a.shape)
-    parts = np.array_split(np.arange(q.shape[1]), LISTS)
-    return [cast(q[:, p]) @ cast(x[:, p]).T for p in parts if len(p)] or [np.zeros((len(q), len(x)))]
+        return q.astype(kind), x.astype(kind)
+    if bound < 2**62:
+        return q.astype(np.int64), x.astype(np.int64)
+    return tuple(np.array([[int(v) for v in row] for row in a], dtype=object).reshape(a.shape) for a in (q, x))
 
 
-def to_long(scores: np.ndarray) -> np.ndarray:
+def digits(scores: np.ndarray) -> pa.Array:
     if scores.dtype == object:
-        return np.array([min(max(int(v), LOW), -LOW - 1) for v in scores.ravel()], dtype=np.int64).reshape(scores.shape)
-    return scores.astype(np.int64)
-
-
-def _own(query_ids: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (query, row) where a row is the query's own."""
-    order = np.argsort(ids, kind="stable")
-    low, high = np.searchsorted(ids[order], query_ids, "left"), np.searchsorted(ids[order], query_ids, "right")
-    n = high - low
-    return np.repeat(np.arange(len(query_ids)), n), order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())] if n.sum() else np.zeros(0, dtype=int)
-
-
-def local_best(q: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Phase 1: the full scores of the k best rows of the lists, best first; LOW where there are fewer."""
-    lists = partial_scores(q, x)
-    own = _own(query_ids, ids)
-    found = []
-    for s in lists:
-        s = s.astype(np.float64) if s.dtype == object else s
-        s = s.copy()
-        s[own] = -np.inf if s.dtype.kind == "f" else LOW
-        found.append(np.argpartition(-s, k - 1, axis=1)[:, :k] if s.shape[1] > k else np.broadcast_to(np.arange(s.shape[1]), s.shape))
-    at = np.sort(np.concatenate(found, axis=1), axis=1)
-    total = sum(np.take_along_axis(to_long(s), at, axis=1) for s in lists)
-    again = np.zeros(at.shape, dtype=bool)
-    again[:, 1:] = at[:, 1:] == at[:, :-1]  # a row that two lists name counts once
-    total[again | (ids[at] == query_ids[:, None])] = LOW
-    best = -np.sort(-total, axis=1)[:, :k]
-    return best if best.shape[1] == k else np.hstack([best, np.full((len(best), k - best.shape[1]), LOW)])
-
-
-def above(q: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, cutoff: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Phases 2 and 3: query, id and score of the rows at or above the cutoff, k a query at most."""
-    lists = partial_scores(q, x)
-    low = [s.min(axis=1, keepdims=True) for s in lists]
-    floor = sum(to_long(v) for v in low)[:, 0]
-    open_ = cutoff == LOW  # fewer than k rows are known: all of them qualify
-    share = np.where(open_, 0, (cutoff.astype(np.float64) - floor) / len(lists) - 0.5)  # half a unit below, against rounding
-    hit = np.zeros(lists[0].shape, dtype=bool)
-    for s, v in zip(lists, low, strict=True):
-        hit |= (s - v) >= share[:, None].astype(s.dtype if s.dtype.kind == "f" else np.float64) * (1 - 2.0**-20)
-    hit[open_] = True
-    a, b = np.nonzero(hit)
-    score = sum(to_long(s[a, b]) for s in lists)
-    keep = (score >= cutoff[a]) & (query_ids[a] != ids[b])
-    a, b, score = a[keep], b[keep], score[keep]
-    order = np.lexsort((ids[b], -score, a))
-    a, b, score = a[order], b[order], score[order]
-    first = np.searchsorted(a, a, "left")
-    top = np.arange(len(a)) - first < k
-    return a[top], ids[b][top], score[top]
-
-
-def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of distinct query rows, a bounded block at a time, through the driver."""
-    packed = queries.distinct()
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import decimal
+
+        most = 10**37
+        return pa.array([decimal.Decimal(min(max(int(v), -most), most)) for v in scores], DIGITS)
+    return pa.array(scores.astype(np.int64)).cast(DIGITS)
+
+
+def _mapped(pairs: DataFrame, work, extra: tuple[str, ...] = ()) -> DataFrame:
+    """q, r, list, query_id, vec_id, s: what ``work`` (query values, row values, ids of both, further columns) picks of each pair of blocks: places and local scores."""
+
+    def run(batches):
         for b in batches:
-            rows = [np.floor(SCALE * np.array(v, dtype=np.float64)).tobytes() for v in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["id", "v"])
+            for row in b.to_pylist():
+                qi, xi = (np.frombuffer(row[c], dtype=np.int64) for c in ("qids", "ids"))
+                q, x = exact(unpack(row["qx"], len(qi)), unpack(row["x"], len(xi)))
+                a, c, s = work(q, x, qi, xi, *[row[e] for e in extra])
+                if len(a):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array((row["qb"] << PLACE) + a), pa.array((row["rb"] << PLACE) + c), pa.array(np.full(len(a), row["list"], dtype=np.int32)), pa.array(qi[a]), pa.array(xi[c]), digits(s)],
+                        ["q", "r", "list", "query_id", "vec_id", "s"],
+                    )
+
+    return pairs.select("qb", "rb", "list", "qids", "qx", "ids", "x", *extra).mapInArrow(tidy(run), "q long, r long, list int, query_id long, vec_id long, s decimal(38,0)")
+
+
+def best_of_list(k: int):
+    """Phase 1: the k best rows of a list for each query, without the query's own."""
+
+    def work(q, x, qi, xi):
+        s = q @ x.T
+        rank = s.astype(np.float64)
+        order = np.argsort(xi, kind="stable")
+        low, high = np.searchsorted(xi[order], qi, "left"), np.searchsorted(xi[order], qi, "right")
+        for i in np.flatnonzero(high > low):
+            rank[i, order[low[i] : high[i]]] = -np.inf
+        at = np.argpartition(-rank, k - 1, axis=1)[:, :k] if rank.shape[1] > k else np.broadcast_to(np.arange(rank.shape[1]), rank.shape)
+        a, c = np.repeat(np.arange(len(qi)), at.shape[1]), at.ravel()
+        known = rank[a, c] > -np.inf
+        a, c = a[known], c[known]
+        return a, c, s[a, c]
+
+    return work
+
+
+def even_share(cutoff: float) -> float:
+    """At most half of the cutoff: a little below, against rounding."""
+    return cutoff / LISTS - 1 - abs(cutoff) * 2.0**-40
+
+
+def reach_share(q, x, qi, xi, cuts):
+    """Phase 2: the rows of a list that reach the even share of each query's cutoff; all where there is none."""
+    share = np.full(len(qi), -np.inf)
+    for at, cutoff in cuts or ():
+        share[at] = even_share(cutoff)
+    s = q @ x.T
+    a, c = np.nonzero(s >= share[:, None].astype(np.float64))
+    own = qi[a] == xi[c]
+    a, c = a[~own], c[~own]
+    return a, c, s[a, c]
+
 
-    for block in batched(packed.mapInArrow(pack, "id long, v binary").toLocalIterator(), QUERY_BLOCK):
-        block = sorted((r.id, bytes(r.v)) for r in block)
-        width = max(len(v) for _, v in block) // 8
-        q = np.zeros((len(block), width))
-        for i, (_, v) in enumerate(block):
-            q[i, : len(v) // 8] = np.frombuffer(v)
-        yield np.array([i for i, _ in block], dtype=np.int64), q
+def at_places(q, x, qi, xi, cells):
+    """Local scores of given places."""
+    a, c = np.array([(p["a"], p["c"]) for p in cells], dtype=np.int64).T
+    return a, c, (q[a] * x[c]).sum(axis=1)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of ``vectors`` for each row of ``queries``."""
     spark = vectors.sparkSession
-    rows, path = usable(vectors, id_col, vector_col), scratch(spark, "top-k")
-    schema = "query_id long, rank int, vec_id long, score long"
-    spark.createDataFrame([], schema).write.parquet(path)
-    for query_ids, q in _blocks(usable(queries, id_col, vector_col)):
-        block = spark.sparkContext.broadcast((query_ids, q))
-
-        def best(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            qi, qv = block.value
-            held = np.full((len(qi), k), LOW)
-            for b in batches:
-                ids, x = b.column(0).to_numpy(), matrix(b.column(1), qv.shape[1])
-                step = max(1, CELLS // max(1, len(ids)))
-                for i in range(0, len(qi), step):
-                    got = local_best(qv[i : i + step], qi[i : i + step], x, ids, k)
-                    held[i : i + step] = -np.sort(-np.hstack([held[i : i + step], got]), axis=1)[:, :k]
-            n, r = np.nonzero(held > LOW)
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(held[n, r])], ["q", "score"])
-
-        w = Window.partitionBy("q").orderBy(F.desc("score"))
-        cut = np.full(len(query_ids), LOW)
-        for r in rows.mapInArrow(best, "q int, score long").withColumn("k", F.row_number().over(w)).where(F.col("k") == k).select("q", "score").collect():
-            cut[r.q] = r.score
-        cutoffs = spark.sparkContext.broadcast(cut)
-
-        def collect(batches: Iterator[pa.RecordBatch], block=block, cutoffs=cutoffs) -> Iterator[pa.RecordBatch]:
-            (qi, qv), least = block.value, cutoffs.value
-            for b in batches:
-                ids, x = b.column(0).to_numpy(), matrix(b.column(1), qv.shape[1])
-                step = max(1, CELLS // max(1, len(ids)))
-                for i in range(0, len(qi), step):
-                    n, vec, score = above(qv[i : i + step], qi[i : i + step], x, ids, least[i : i + step], k)
-                    yield pa.RecordBatch.from_arrays([pa.array(n + i, pa.int32()), pa.array(qi[i : i + step][n]), pa.array(vec), pa.array(score)], ["q", "query_id", "vec_id", "score"])
-
-        w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-        found = rows.mapInArrow(collect, "q int, query_id long, vec_id long, score long").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        found.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
-        block.unpersist()
-        cutoffs.unpersist()
-    return spark.read.schema(schema).parquet(path)
+    rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col).distinct()
+    n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    m, wide = asked.agg(F.count("*"), F.max(F.size("v"))).first()
+    if not n or not m:
+        return spark.createDataFrame([], SCHEMA)
+    width = max(width, wide, 1)
+    fits = max(1, SLICE_BYTES // (8 * -(-width // LISTS)))
+    nr, nq = -(-n // min(ROW_BLOCK, fits)), -(-m // min(QUERY_BLOCK, fits))
+    held, _ = materialize(slices(first_copies(rows, k), nr, width, ("rb", "ids", "x")), "row-slices")
+    put, _ = materialize(slices(asked, nq, width, ("qb", "qids", "qx")), "query-slices")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    on = ["qb", "rb", "list"]
+    held = held.withColumn("qb", every(nq))
+
+    def pairs(put: DataFrame) -> DataFrame:
+        return held.join(put.withColumn("rb", every(nr)), on)
+
+    def resolved(places: DataFrame) -> DataFrame:
+        """The local scores of places (q, r, list); a block pair's places go with it."""
+        low = (1 << PLACE) - 1
+        cell = F.struct(F.col("q").bitwiseAND(low).alias("a"), F.col("r").bitwiseAND(low).alias("c"))
+        cells = places.groupBy(F.shiftright("q", PLACE).alias("qb"), F.shiftright("r", PLACE).alias("rb"), "list").agg(F.collect_list(cell).alias("cells"))
+        return _mapped(pairs(put).join(cells, on), at_places, ("cells",))
+
+    def totals(entries: DataFrame) -> DataFrame:
+        return entries.groupBy("q", "r").agg(F.min("query_id").alias("query_id"), F.min("vec_id").alias("vec_id"), F.sum("s").cast("decimal(38,0)").alias("s"), F.count("*").alias("lists"), F.min("list").alias("list"))
+
+    def kth(scored: DataFrame) -> DataFrame:
+        return scored.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s")))).where(F.col("n") == k).select("q", F.col("s").alias("cutoff"))
+
+    # 1: the best of each list, and the cutoff that their scores give
+    best = _mapped(pairs(put), best_of_list(k)).withColumn("n", F.row_number().over(Window.partitionBy("q", "list").orderBy(F.desc("s"), "r"))).where(F.col("n") <= k)
+    lists = F.explode(F.sequence(F.lit(0), F.lit(LISTS - 1))).alias("list")
+    cuts, _ = materialize(kth(totals(resolved(best.select("q", "r").distinct().select("q", "r", lists)))), "cutoffs")
+    # 2: what reaches the even share of the cutoff in some list
+    of_block = cuts.groupBy(F.shiftright("q", PLACE).alias("qb")).agg(F.collect_list(F.struct(F.col("q").bitwiseAND((1 << PLACE) - 1).alias("a"), F.col("cutoff").cast("double").alias("c"))).alias("cuts"))
+
+    def collected(q, x, qi, xi, cuts):
+        return reach_share(q, x, qi, xi, [(p["a"], p["c"]) for p in cuts or ()])
+
+    entries, _ = materialize(totals(_mapped(pairs(put.join(of_block, "qb", "left")), collected, ("cuts",))), "entries")
+    # 3: exact scores of what can still be among the k best
+    full = entries.where(F.col("lists") == LISTS)
+    raised = cuts.join(kth(full).withColumnRenamed("cutoff", "raised"), "q", "left").select(F.col("q").alias("of"), F.col("cutoff").cast("double").alias("cutoff"), F.greatest("cutoff", "raised").cast("double").alias("least"))
+    share = F.col("cutoff") / LISTS - 1 - F.abs("cutoff") * 2.0**-40
+    reachable = F.col("cutoff").isNull() | (F.col("s").cast("double") + share >= F.col("least") * (1 - F.signum("least") * 2.0**-40) - 1)
+    partly = entries.where(F.col("lists") < LISTS).join(raised, F.col("q") == F.col("of"), "left").where(reachable)
+    missing = resolved(partly.select("q", "r", (LISTS - 1 - F.col("list")).alias("list")))
+    columns = ["q", "r", "query_id", "vec_id", "s"]
+    scored = full.select(columns).unionAll(totals(partly.select("q", "r", "query_id", "vec_id", "s", "list").unionByName(missing)).select(columns))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "vec_id"))).where(F.col("rank") <= k)
+    most = (1 << 63) - 1
+    bounded = F.greatest(F.least("s", F.lit(most).cast("decimal(38,0)")), F.lit(-most - 1).cast("decimal(38,0)"))
+    return ranked.select("query_id", "rank", "vec_id", bounded.cast("long").alias("score"))
