@@ -65,8 +65,8 @@ def range_number(items: list, cuts: list, schema) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), number, lambda at, s: F.when((at + s <= len(cuts)) & reached(at + s - 1), at + s).otherwise(at))
 
 
-def ranges(df: DataFrame, items: list, parts: int | None = None) -> tuple[DataFrame, list[Column]]:
-    """Rows with __part, which follows the order, and the keys of the order within a part.
+def ranges(df: DataFrame, items: list, parts: int | None = None) -> tuple[DataFrame, list[Column], int]:
+    """Rows with __part, which follows the order, the keys of the order within a part, and how many parts there are.
 
     Cut points are chosen once and stand in the plan, so a row has the same
     part wherever and however often the plan is evaluated; nothing depends on
@@ -75,31 +75,32 @@ def ranges(df: DataFrame, items: list, parts: int | None = None) -> tuple[DataFr
     """
     if not df._jdf.queryExecution().analyzed().deterministic():
         raise ValueError("rows that differ between evaluations can't be numbered; write them first")
-    parts = parts or 3 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tied, items = _tied(df, items)
-    return tied.withColumn("__part", range_number(items, cut_points(tied, items, parts), tied.schema)), list(map(sort_key, items))
+    cuts = cut_points(tied, items, parts)
+    return tied.withColumn("__part", range_number(items, cuts, tied.schema)), list(map(sort_key, items)), len(cuts) + 1
 
 
 def numbered(df: DataFrame, items: list, name: str = "row_number", parts: int | None = None) -> DataFrame:
     """ROW_NUMBER() OVER (ORDER BY ...): the place in a range plus the rows of the ranges before it.
 
-    One exchange of the rows, by range number; the rows of each range are
-    counted by an aggregation of the keys.
+    One exchange of the rows, a range to each partition; the rows of each range
+    are counted by an aggregation of the keys.
     """
-    rows, keys = ranges(df, items, parts)
+    rows, keys, n = ranges(df, items, parts)
     counts = rows.groupBy("__part").agg(F.count("*").alias("__n"))
     before = counts.select(F.col("__part"), F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    placed = rows.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*keys)))
+    placed = rows.repartitionById(n, "__part").withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*keys)))
     return placed.join(F.broadcast(before), "__part").withColumn(name, (F.col("__at") + F.col("__before")).cast("long")).drop("__part", "__at", "__before", "__tie")
 
 
 def running(df: DataFrame, items: list, value: str, name: str, parts: int | None = None) -> DataFrame:
     """SUM(value) OVER (ORDER BY ... ROWS UNBOUNDED PRECEDING)."""
-    rows, keys = ranges(df, items, parts)
+    rows, keys, n = ranges(df, items, parts)
     sums = rows.groupBy("__part").agg(F.sum(value).alias("__s"))
     before = sums.select("__part", F.sum("__s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
     own = F.sum(value).over(Window.partitionBy("__part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = rows.withColumn("__own", own).join(F.broadcast(before), "__part")
+    out = rows.repartitionById(n, "__part").withColumn("__own", own).join(F.broadcast(before), "__part")
     total = F.when(F.col("__before").isNull(), F.col("__own")).when(F.col("__own").isNull(), F.col("__before")).otherwise(F.col("__own") + F.col("__before"))
     return out.withColumn(name, total).drop("__part", "__own", "__before", "__tie")
 
