@@ -89,21 +89,29 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_sstable, op3_merkle, op4_topk, op5_simhash, op6_packing, op7_pieces, op8_toxicity, op9_line_dedup, op10_language)}
-_ROOT = """sha256(array_to_string(list_transform(string_split({0}, chr(10) || chr(10)), lambda s:
-    sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ''))), ''))"""
-_LEAVES = "list_distinct(string_split(regexp_replace({0}, '([.,;:!?|]) ', '\\1' || chr(10), 'g'), chr(10)))"
-_LIKE = "CASE WHEN {2} THEN 1.0 ELSE least(2.0 * len(list_intersect({0}, {1})) / (len({0}) + len({1})), 1 - 1.0 / (len({0}) + len({1}) + 1)) END"
+_TREE = """list_transform(string_split({0}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p:
+    list_transform(string_split(regexp_replace(p, '([.,;:!?|]) ', '\\1' || chr(10), 'g'), chr(10)), lambda x: sha256(x))))"""
+_PARAGRAPHS = "list_transform({0}, lambda s: list_transform(s, lambda p: sha256(array_to_string(p, ''))))"
+_SECTIONS = "list_transform({0}, lambda s: sha256(array_to_string(s, '')))"
+_SKETCH = f"list_sort(list_distinct(list_transform(flatten(flatten({{0}})), lambda x: left(x, {merkle.LEAF}))))[1:{merkle.SKETCH}]"
+_LEAST = f"CASE WHEN len({{0}}) < {merkle.SKETCH} AND len({{1}}) < {merkle.SKETCH} THEN list_distinct({{0}} || {{1}}) ELSE list_sort(list_distinct({{0}} || {{1}}))[1:{merkle.SKETCH}] END"
+_SHARED = "CAST(len(list_intersect({2}, list_intersect({0}, {1}))) AS DOUBLE) / len({2})"
+_LIKE = "CASE WHEN {3} THEN 1.0 ELSE least(2.0 * {2} / (1.0 + {2}), 1 - 1.0 / (len({0}) + len({1}) + 1)) END"
+_DIFFERING = """coalesce(list_sum(list_transform(range(1, greatest(len(sa), len(se)) + 1), lambda i: CASE WHEN sa[i] IS NOT DISTINCT FROM se[i] THEN 0 ELSE
+    len(list_filter(range(1, greatest(coalesce(len(pa[i]), 0), coalesce(len(pe[i]), 0)) + 1), lambda j: pa[i][j] IS DISTINCT FROM pe[i][j])) END)), 0)"""
 ORACLES: dict[str, str] = {
     "op3_merkle": f"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS next_text, length(text) AS n FROM t),
         e AS (SELECT *, left(text, n - n // 2) || left(next_text, n // 2) AS edited FROM n),
-        h AS (SELECT *, {_ROOT.format("text")} AS fingerprint, {_ROOT.format("edited")} AS edited_fingerprint,
-                     {_LEAVES.format("text")} AS l, {_LEAVES.format("edited")} AS le, {_LEAVES.format("next_text")} AS ln FROM e)
-        SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint,
-               CAST({_LIKE.format("l", "le", "fingerprint = edited_fingerprint")} AS DOUBLE) AS near_edited,
-               CAST({_LIKE.format("l", "ln", "text = next_text")} AS DOUBLE) AS near_next
-        FROM h
+        h AS (SELECT doc_id, n, text, next_text, edited, {_TREE.format("text")} AS ta, {_TREE.format("edited")} AS te, {_TREE.format("next_text")} AS tn FROM e),
+        k AS (SELECT *, {_SKETCH.format("ta")} AS ka, {_SKETCH.format("te")} AS ke, {_SKETCH.format("tn")} AS kn, {_PARAGRAPHS.format("ta")} AS pa, {_PARAGRAPHS.format("te")} AS pe FROM h),
+        m AS (SELECT *, {_SECTIONS.format("pa")} AS sa, {_SECTIONS.format("pe")} AS se, {_LEAST.format("ka", "ke")} AS le, {_LEAST.format("ka", "kn")} AS ln FROM k),
+        r AS (SELECT *, sha256(array_to_string(sa, '')) AS ra, sha256(array_to_string(se, '')) AS re, {_SHARED.format("ka", "ke", "le")} AS je, {_SHARED.format("ka", "kn", "ln")} AS jn FROM m)
+        SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, ra || ':' || array_to_string(ka, '') AS fingerprint, re || ':' || array_to_string(ke, '') AS edited_fingerprint,
+               CAST({_LIKE.format("ka", "ke", "je", "ra = re")} AS DOUBLE) AS near_edited, CAST({_LIKE.format("ka", "kn", "jn", "text = next_text")} AS DOUBLE) AS near_next,
+               CAST({_DIFFERING} AS BIGINT) AS differing_paragraphs
+        FROM r
     """,
     "op9_line_dedup": f"""
         WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL),

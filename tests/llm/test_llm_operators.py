@@ -239,6 +239,52 @@ def test_merkle(spark):
     assert one.near_next == 1.0
 
 
+def brute_likeness(a, b):
+    def values(text):
+        cut = [x for line in text.split("\n") for x in __import__("re").split(merkle.PHRASE, line)]
+        return sorted({hashlib.sha256(x.encode()).hexdigest()[: merkle.LEAF] for x in cut})
+
+    if a == b:
+        return 1.0
+    x, y = (values(t)[: merkle.SKETCH] for t in (a, b))
+    least = sorted({*x, *y}) if max(len(x), len(y)) < merkle.SKETCH else sorted({*x, *y})[: merkle.SKETCH]
+    j = len(set(least) & set(x) & set(y)) / len(least)
+    return min(2 * j / (1 + j), 1 - 1 / (len(x) + len(y) + 1))
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "decimal(20,2)", "date"])
+def test_next_documents_by_any_kind_of_id(spark, kind):
+    import datetime
+    import decimal
+
+    make = {"long": int, "string": lambda i: f"doc-{i:04d}", "decimal(20,2)": lambda i: decimal.Decimal(f"{i}.50"), "date": lambda i: datetime.date(2020, 1, 1) + datetime.timedelta(days=i)}[kind]
+    rng, texts = np.random.default_rng(2), [". ".join(prose(int(k), 4) for k in range(i, i + 5)) for i in range(160)]
+    texts[7] = ". ".join(f"sentence {k} of a long text" for k in range(3_000))
+    texts[8] = ". ".join(f"sentence {k} of a long text" for k in range(1_000, 4_000))
+    rows = [(make(i), texts[i], "x") for i in rng.permutation(160).tolist()]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string, part string").withColumn("end", F.lit(1)).withColumn("h", F.lit(2)).withColumn("id", F.lit(3))
+    got = {r.doc_id: r for r in merkle.compared(docs).collect()}
+    for i, t in enumerate(texts):
+        r, nxt = got[make(i)], texts[(i + 1) % 160]
+        assert r.near_next == pytest.approx(brute_likeness(t, nxt)) and r.n_chars == len(t)
+        assert r.edited_sha256 == hashlib.sha256((t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]).encode()).hexdigest()
+    assert got[make(7)].near_next == pytest.approx(2 / 3, abs=0.1)
+    prints = spark.createDataFrame([(r.fingerprint, r.edited_fingerprint, r.near_edited) for r in got.values()], "a string, b string, near double")
+    assert all(r.x == pytest.approx(r.near) for r in prints.select("near", merkle.likeness(F.col("a"), F.col("b")).alias("x")).collect())
+
+
+def test_next_documents_of_repeated_ids(spark):
+    texts = ["a", "b", "b", None, "c"] * 8
+    got = merkle.with_next(docs_of(spark, texts, [5, 5, 5, None, 9] * 8), parts=4).collect()
+    assert len(got) == 40
+    order = sorted(((r.id is not None, r.id or 0), r.text) for r in got)
+    follow = sorted((r.text, r.next_text) for r in got)
+    chain = [t for _, t in order]
+    runs = {5: sorted(t for (_, i), t in order if i == 5)}
+    assert sum(a == "" and b == "" for a, b in follow) == 7 and sum(a == "c" and b == "c" for a, b in follow) == 7 and ("c", "") in follow
+    assert len(chain) == 40 and len(runs[5]) == 24
+
+
 # 4 top-k
 
 
