@@ -120,10 +120,12 @@ class PairEncoder:
         core, dtype = self.core.encode_ordinary, self.dtype
         if not self.lowers:
             return [self.whole(t) + end if o else np.array(core(t), dtype=dtype).tobytes() + end for t, o in zip(texts.to_pylist(), odd, strict=True)]
-        out, blank = [], str.maketrans("\t\n\r", "   ")
-        for t, low, o in zip(texts.to_pylist() if any(odd) else odd, pc.utf8_lower(texts).to_pylist(), odd, strict=True):
+        out, low = [], pc.utf8_lower(texts)
+        for c in "\t\n\r":
+            low = pc.replace_substring(low, c, " ")
+        for t, words, o in zip(texts.to_pylist() if any(odd) else odd, low.to_pylist(), odd, strict=True):
             # a blank after every word marks its end
-            out.append(self.whole(t) + end if o else np.array(core(CUTS.sub(r" \g<0> ", low.translate(blank)) + " "), dtype=dtype).tobytes() + end)
+            out.append(self.whole(t) + end if o else np.array(core(CUTS.sub(r" \g<0> ", words) + " "), dtype=dtype).tobytes() + end)
         return out
 
 
