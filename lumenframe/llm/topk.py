@@ -6,8 +6,8 @@ the lists of a row stand in different tasks and none sees a whole score.
 Queries are cut the same way, and each task holds one block of rows against one
 block of queries in one slice.
 
-1.  Gather: every list reports its k best rows for each query.  The scores of
-    the k best of each list are resolved exactly; the k-th best of them is a
+1.  Gather: every list reports its DEEP * k best rows for each query.  The scores of
+    as many best of each list are resolved exactly; the k-th best of them is a
     safe cutoff, as at least k rows reach it.
 2.  Collect: the cutoffs go to the tasks with the blocks of queries.  A row
     that reaches the cutoff has its even share of it in some list, so each list
@@ -26,8 +26,8 @@ Defined cases: null vectors, vectors with a null or non-finite component and
 rows with a null id take no part; vectors of different lengths count as padded
 with zeros; an empty vector scores 0; rows with the query's id are its own,
 other repeated rows count each; repeated query rows (same id and vector) are
-one query; no candidates give no rows; scores beyond 64 bits are cut off there
-(local ones at 37 digits); other columns take no part.
+one query; no candidates give no rows; local scores beyond 62 bits are cut off
+there; other columns take no part.
 """
 
 from __future__ import annotations
@@ -45,7 +45,10 @@ LISTS, SCALE = 2, 256
 ROW_BLOCK, QUERY_BLOCK, SLICE_BYTES = 4096, 1024, 4 << 20
 #: Places in a block are counted below this bit of a number.
 PLACE = 20
-DIGITS = pa.decimal128(38, 0)
+#: Local best rows that are resolved for the cutoff, as a multiple of k: a closer cutoff leaves fewer entries.
+DEEP = 8
+#: Local scores are cut off here, so that their sum fits 64 bits.
+MOST = (1 << 62) - 1
 SCHEMA = "query_id long, rank int, vec_id long, score long"
 
 
@@ -117,13 +120,10 @@ def exact(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.array([[int(v) for v in row] for row in a], dtype=object).reshape(a.shape) for a in (q, x))
 
 
-def digits(scores: np.ndarray) -> pa.Array:
+def to_long(scores: np.ndarray) -> pa.Array:
     if scores.dtype == object:
-        import decimal
-
-        most = 10**37
-        return pa.array([decimal.Decimal(min(max(int(v), -most), most)) for v in scores], DIGITS)
-    return pa.array(scores.astype(np.int64)).cast(DIGITS)
+        return pa.array([min(max(int(v), -MOST), MOST) for v in scores], pa.int64())
+    return pa.array(scores.astype(np.int64))
 
 
 def _mapped(pairs: DataFrame, work, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -137,15 +137,15 @@ def _mapped(pairs: DataFrame, work, extra: tuple[str, ...] = ()) -> DataFrame:
                 a, c, s = work(q, x, qi, xi, *[row[e] for e in extra])
                 if len(a):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array((row["qb"] << PLACE) + a), pa.array((row["rb"] << PLACE) + c), pa.array(np.full(len(a), row["list"], dtype=np.int32)), pa.array(qi[a]), pa.array(xi[c]), digits(s)],
+                        [pa.array((row["qb"] << PLACE) + a), pa.array((row["rb"] << PLACE) + c), pa.array(np.full(len(a), row["list"], dtype=np.int32)), pa.array(qi[a]), pa.array(xi[c]), to_long(s)],
                         ["q", "r", "list", "query_id", "vec_id", "s"],
                     )
 
-    return pairs.select("qb", "rb", "list", "qids", "qx", "ids", "x", *extra).mapInArrow(tidy(run), "q long, r long, list int, query_id long, vec_id long, s decimal(38,0)")
+    return pairs.select("qb", "rb", "list", "qids", "qx", "ids", "x", *extra).mapInArrow(tidy(run), "q long, r long, list int, query_id long, vec_id long, s long")
 
 
 def best_of_list(k: int):
-    """Phase 1: the k best rows of a list for each query, without the query's own."""
+    """Phase 1: the ``k`` best rows of a list for each query, without the query's own."""
 
     def work(q, x, qi, xi):
         s = q @ x.T
@@ -214,13 +214,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         return _mapped(pairs(put).join(cells, on), at_places, ("cells",))
 
     def totals(entries: DataFrame) -> DataFrame:
-        return entries.groupBy("q", "r").agg(F.min("query_id").alias("query_id"), F.min("vec_id").alias("vec_id"), F.sum("s").cast("decimal(38,0)").alias("s"), F.count("*").alias("lists"), F.min("list").alias("list"))
+        return entries.groupBy("q", "r").agg(F.min("query_id").alias("query_id"), F.min("vec_id").alias("vec_id"), F.sum("s").alias("s"), F.count("*").alias("lists"), F.min("list").alias("list"))
 
     def kth(scored: DataFrame) -> DataFrame:
         return scored.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s")))).where(F.col("n") == k).select("q", F.col("s").alias("cutoff"))
 
     # 1: the best of each list, and the cutoff that their scores give
-    best = _mapped(pairs(put), best_of_list(k)).withColumn("n", F.row_number().over(Window.partitionBy("q", "list").orderBy(F.desc("s"), "r"))).where(F.col("n") <= k)
+    best = _mapped(pairs(put), best_of_list(DEEP * k)).withColumn("n", F.row_number().over(Window.partitionBy("q", "list").orderBy(F.desc("s"), "r"))).where(F.col("n") <= DEEP * k)
     lists = F.explode(F.sequence(F.lit(0), F.lit(LISTS - 1))).alias("list")
     cuts, _ = materialize(kth(totals(resolved(best.select("q", "r").distinct().select("q", "r", lists)))), "cutoffs")
     # 2: what reaches the even share of the cutoff in some list
@@ -240,6 +240,4 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     columns = ["q", "r", "query_id", "vec_id", "s"]
     scored = full.select(columns).unionAll(totals(partly.select("q", "r", "query_id", "vec_id", "s", "list").unionByName(missing)).select(columns))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "vec_id"))).where(F.col("rank") <= k)
-    most = (1 << 63) - 1
-    bounded = F.greatest(F.least("s", F.lit(most).cast("decimal(38,0)")), F.lit(-most - 1).cast("decimal(38,0)"))
-    return ranked.select("query_id", "rank", "vec_id", bounded.cast("long").alias("score"))
+    return ranked.select("query_id", "rank", "vec_id", F.col("s").alias("score"))
