@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,19 +16,12 @@ UNITS = frozenset({"SECOND", "MINUTE", "HOUR", "DAY"})
 
 
 def java_format(pattern: str) -> str:
-    """A strptime pattern as a Java one; letters that aren't directives are quoted."""
-    out, i = [], 0
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "%" and i + 1 < len(pattern):
-            letter = pattern[i + 1]
-            if letter not in DIRECTIVES:
-                raise ValueError(f"unknown directive %{letter}")
-            out.append(DIRECTIVES[letter])
-            i += 2
-            continue
-        out.append(f"'{c}'" if c.isalpha() else "''" if c == "'" else c)
-        i += 1
+    """A strptime pattern as a Java one; runs of letters that aren't directives are quoted."""
+    out = []
+    for directive, literal, other in re.findall(r"%(.)|((?:[^\W\d_]|[\[\]{}#'])+)|(.)", pattern, re.S):
+        if directive and directive not in DIRECTIVES:
+            raise ValueError(f"unknown directive %{directive}")
+        out.append(DIRECTIVES[directive] if directive else "'" + literal.replace("'", "''") + "'" if literal else other)
     return "".join(out)
 
 

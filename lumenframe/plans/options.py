@@ -12,15 +12,14 @@ SPARK_CONF = {
     "MAX_DATA_LOAD_CONCAT_CACHE_BYTE_SIZE": "spark.sql.files.maxPartitionBytes",
     "MAX_ORDER_BY_SAMPLES_PER_NODE": "spark.sql.execution.rangeExchange.sampleSizePerPartition",
 }
-#: What every session sets: standard semantics that results depend on, and the adaptive planner.
-DEFAULTS = {
+#: What holds while a session plans: no zone, and null instead of an error for x / 0, x % 0 and casts that fail.
+PLANNING = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.timestampType": "TIMESTAMP_NTZ",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.ansi.enabled": "false",
 }
-ENV_PREFIX = "BSQL_"
+#: Environment variables that begin so stand for options.
+ENV_PREFIX = "LUMENFRAME_"
 
 
 def spark_settings(options: dict[str, Any] | None) -> dict[str, str]:

@@ -143,3 +143,20 @@ R.sql("c_str_to_num", "SELECT c_custkey, CAST(right(c_name, 4) AS INTEGER) AS a,
 @R.frame("c_op_from_numbers", "SELECT o_orderkey, DATE '1970-01-01' + CAST(o_custkey AS INTEGER) AS d, make_timestamp(o_orderkey * 1000003) AS t, CAST(NULL AS BIGINT) AS n FROM orders")
 def _from_numbers(t: Tables):
     return t.orders.select("o_orderkey", L.days_to_date(F.col("o_custkey")).alias("d"), L.ts_from_ns(F.col("o_orderkey") * 1000003000 + 999).alias("t"), L.to_number(F.col("o_orderpriority")).alias("n"))
+
+# SQL text of the usual dialect, through the session's translation
+R.sql(
+    "d_sql_formats",
+    "SELECT c_custkey, to_date(concat(lpad(CAST(c_custkey % 28 + 1 AS STRING), 2, '0'), '.03.', CAST(1995 + c_nationkey AS STRING)), '%d.%m.%Y') AS d, to_timestamp(c_name, '%Y-%m-%d') AS n FROM customer",
+    "SELECT c_custkey, CAST(strptime(lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') || '.03.' || CAST(1995 + c_nationkey AS VARCHAR), '%d.%m.%Y') AS DATE) AS d, CAST(NULL AS TIMESTAMP) AS n FROM customer",
+)
+R.sql(
+    "m_sql_zero_divisors",
+    "SELECT c_custkey, round(c_acctbal / (c_custkey % 4), 4) AS d, (c_nationkey - 12) % (c_custkey % 4) AS r, CAST(c_mktsegment AS INTEGER) AS c FROM customer",
+    "SELECT c_custkey, round(c_acctbal / nullif(c_custkey % 4, 0), 4) AS d, (c_nationkey - 12) % nullif(c_custkey % 4, 0) AS r, CAST(NULL AS INTEGER) AS c FROM customer",
+)
+R.sql(
+    "s_sql_backref",
+    r"SELECT p_partkey, regexp_replace(p_name, '(\w+) (\w+)', '\2 of \1') AS v, regexp_replace(p_name, 'e', 'E', 4) AS w FROM part",
+    r"SELECT p_partkey, regexp_replace(p_name, '(\w+) (\w+)', '\2 of \1', 'g') AS v, left(p_name, 3) || regexp_replace(substring(p_name, 4), 'e', 'E', 'g') AS w FROM part",
+)

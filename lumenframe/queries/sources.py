@@ -127,3 +127,12 @@ def _token(t: Tables) -> DataFrame:
     _ = t.nation
     token = t.session.sql("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey", return_token=True)
     return t.session.fetch(token)
+
+
+@R.frame("src_catalog", CUSTOMER)
+def _catalog(t: Tables) -> DataFrame:
+    name = f"customer_{uuid.uuid4().hex}"
+    t.customer.write.option("path", shared(t, "catalog")).saveAsTable(name)  # an external table: the catalog holds its place and schema
+    frame = t.session.create_table("customer_catalog", "hive", hive_table_name=name).frame.select(*NAMES)
+    t.session.spark.sql(f"DROP TABLE {name}")
+    return frame

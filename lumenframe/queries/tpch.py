@@ -13,6 +13,14 @@ R.sql(
               round(avg(l_quantity), 4) AS avg_qty, round(avg(l_extendedprice), 3) AS avg_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
        FROM lineitem WHERE l_shipdate <= TIMESTAMP_NTZ '2001-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus""",
 )
+R.sql(
+    "q2",  # what a supplier asks for a part is taken from the lineitems
+    """WITH ps AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, min(l_extendedprice) AS ps_supplycost FROM lineitem GROUP BY l_partkey, l_suppkey),
+            here AS (SELECT ps_partkey, ps_supplycost, s_acctbal, s_name, n_name FROM ps JOIN supplier ON ps_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey = 3)
+       SELECT round(s_acctbal, 2) AS s_acctbal, s_name, n_name, p_partkey, p_brand, round(ps_supplycost, 2) AS ps_supplycost FROM part JOIN here AS h ON p_partkey = h.ps_partkey
+       WHERE p_size <= 15 AND p_type LIKE 'S%' AND h.ps_supplycost = (SELECT min(o.ps_supplycost) FROM here AS o WHERE o.ps_partkey = p_partkey)
+       ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100""",
+)
 R.sql(
     "q3",
     """SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, o_orderdate FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey

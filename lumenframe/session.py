@@ -7,9 +7,12 @@ queries that run in the background.
 
 from __future__ import annotations
 
+import contextlib
 import threading
 import time
+import uuid
 import warnings
+from collections.abc import Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
@@ -17,8 +20,9 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.plans.dialect import spark_sql
 from lumenframe.plans.explain import plan_text
-from lumenframe.plans.options import DEFAULTS, spark_settings
+from lumenframe.plans.options import PLANNING, spark_settings
 from lumenframe.sources import SourceError, TableSource
 from lumenframe.sources.catalogs import read_catalog
 from lumenframe.sources.databases import read_database
@@ -59,15 +63,27 @@ class Session:
         if spark is None:
             spark = SparkSession.builder.config("spark.ui.showConsoleProgress", enable_progress_bar).getOrCreate()
         self.spark = spark
-        for k, v in (DEFAULTS | spark_settings(config_options)).items():
-            if spark.conf.isModifiable(k):
-                spark.conf.set(k, v)
+        self._settings = PLANNING | {k: v for k, v in spark_settings(config_options).items() if spark.conf.isModifiable(k)}
         self._tables: dict[str, TableSource] = {}
         self._filesystems = FileSystems(spark)
         self._queries: dict[int, _Query] = {}
         self._pool: ThreadPoolExecutor | None = None
         self._lock = threading.RLock()
 
+    @contextlib.contextmanager
+    def _planning(self, more: dict[str, str] | None = None) -> Iterator[None]:
+        """The session's settings hold within; the caller's SparkSession has its own again afterwards."""
+        with self._lock:
+            settings = self._settings | (more or {})
+            before = {k: self.spark.conf.get(k, None) for k in settings}
+            try:
+                for k, v in settings.items():
+                    self.spark.conf.set(k, v)
+                yield
+            finally:
+                for k, v in before.items():
+                    self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+
     # tables
 
     def create_table(self, table_name: str, input: Any, **kwargs: Any) -> TableSource:  # noqa: A002
@@ -82,9 +98,15 @@ class Session:
                 raise SourceError(f"create_table has no argument {name!r}; it takes {', '.join(sorted(TABLE_ARGUMENTS))}")
         if kwargs.get("local_files"):
             warnings.warn("local_files has no effect: every executor must reach all files", stacklevel=2)
+        if unused := sorted(k for k in IGNORED if kwargs.get(k) is not None):
+            warnings.warn(f"no effect, as Spark's readers decide this themselves: {', '.join(unused)}", stacklevel=2)
         if kwargs.get("partitions_schema") is not None and kwargs.get("partitions") is None:
             raise SourceError("partitions_schema needs partitions")
         args = {k: v for k, v in kwargs.items() if k not in IGNORED and k not in ("local_files", "partitions", "partitions_schema", "file_format")}
+        with self._planning():
+            return self._register(table_name, input, kwargs, args)
+
+    def _register(self, table_name: str, input: Any, kwargs: dict[str, Any], args: dict[str, Any]) -> TableSource:  # noqa: A002
         hint, paths, partitions = kwargs.get("file_format"), [], []
         if kwargs.get("from_sql"):
             frame, kind = read_database(self.spark, kwargs["from_sql"], input, args), kwargs["from_sql"]
@@ -136,20 +158,16 @@ class Session:
         with self._lock:
             q = _Query(len(self._queries) + 1, query, time.time())
             self._queries[q.token] = q
-            settings = spark_settings(config_options)
-            before = {k: self.spark.conf.get(k, None) for k in settings}
-            try:
-                for k, v in settings.items():
-                    self.spark.conf.set(k, v)
-                frame = self.spark.sql(query)
+        settings = spark_settings(config_options)
+        try:
+            with self._planning(settings):
+                frame = self.spark.sql(spark_sql(query))
                 if settings or return_token:
                     q.plan = plan_text(frame)
-            except Exception as e:
-                q.error = str(e).splitlines()[0][:500]
-                raise
-            finally:
-                for k, v in before.items():
-                    self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+        except Exception as e:
+            q.error = str(e).splitlines()[0][:500]
+            raise
+        finally:
             q.seconds = time.time() - q.started
         if not return_token:
             return frame
@@ -158,13 +176,18 @@ class Session:
         q.future = self._pool.submit(self._run, q, frame)
         return q.token
 
-    def _run(self, q: _Query, frame: DataFrame):
+    def _run(self, q: _Query, frame: DataFrame) -> tuple[str, list[str], Any]:
+        """Writes the result to the folder that driver and executors share; the driver holds none of it."""
         began = time.time()
         try:
             self.spark.sparkContext.setJobGroup(f"query-{q.token}", q.text[:200], True)
-            result = frame.toArrow()
-            q.rows = result.num_rows
-            return result
+            base = self.spark.sparkContext.getConf().get("spark.checkpoint.dir") or self.spark.conf.get("spark.sql.warehouse.dir")
+            path, names = f"{base.rstrip('/')}/results/{uuid.uuid4().hex}", frame.columns
+            plain = frame.toDF(*[f"c{i}" for i in range(len(names))])  # names may repeat
+            plain = plain.select(*[F.col(c).cast("string") if t == "void" else F.col(c) for c, t in plain.dtypes])
+            plain.write.parquet(path)
+            q.rows = self.spark.read.schema(plain.schema).parquet(path).count()
+            return path, names, plain.schema
         except Exception as e:
             q.error = str(e).splitlines()[0][:500]
             raise
@@ -181,11 +204,23 @@ class Session:
         return self._known(token).future.done()
 
     def fetch(self, token: int) -> DataFrame:
-        """Waits for the background query; its result, or its error."""
-        return self.spark.createDataFrame(self._known(token).future.result())
+        """Waits for the background query; its result as it was written, or its error."""
+        path, names, schema = self._known(token).future.result()
+        return self.spark.read.schema(schema).parquet(path).toDF(*names)
+
+    def release(self, token: int) -> None:
+        """Deletes the result of a background query that has ended; its line in the log stays."""
+        q = self._known(token)
+        if not q.future.done():
+            raise RuntimeError(f"query {token} is running")
+        if not q.future.exception():
+            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(q.future.result()[0])
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        q.future = None
 
     def explain(self, sql: str, detail: bool = False) -> str:
-        return plan_text(self.spark.sql(sql), detail)
+        with self._planning():
+            return plan_text(self.spark.sql(spark_sql(sql)), detail)
 
     def log(self, query: str, logs_table_name: str = "query_log") -> DataFrame:
         """SQL over the session's own log: token, query, started, seconds, rows, status, error, plan."""

@@ -19,7 +19,7 @@ from lumenframe.sources.types import struct_of
 #: File extensions and the format and field separator that each stands for.
 EXTENSIONS = {"parquet": ("parquet", None), "orc": ("orc", None), "json": ("json", None), "csv": ("csv", ","), "psv": ("csv", "|"), "tbl": ("csv", "|"), "txt": ("csv", "|")}
 #: Options that other engines need and Spark's readers decide themselves.
-IGNORED = frozenset({"get_metadata", "max_bytes_chunk_read", "use_index", "byte_range_offset", "byte_range_size", "compression", "na_filter", "quoting", "doublequote", "use_cols_indexes", "keep_default_na", "lineterminator", "skip_blank_lines"})
+IGNORED = frozenset({"get_metadata", "max_bytes_chunk_read", "use_index", "byte_range_offset", "byte_range_size", "compression", "na_filter", "keep_default_na", "skip_blank_lines"})
 
 
 def extension(path: str) -> str:
@@ -56,7 +56,12 @@ def _text_options(reader: DataFrameReader, sep: str | None, args: dict[str, Any]
     sep = args.get("delimiter") or args.get("sep") or ("\\s+" if args.get("delim_whitespace") else sep or ",")
     if sep == "\\s+":
         sep = " "
-    reader = reader.option("sep", sep).option("quote", args.get("quotechar", '"')).option("mode", "PERMISSIVE")
+    quote = args.get("quotechar") or '"'
+    reader = reader.option("sep", sep).option("quote", "\0" if args.get("quoting") == 3 else quote)  # 3: no quotes
+    if args.get("doublequote", True):
+        reader = reader.option("escape", quote)
+    if args.get("lineterminator"):
+        reader = reader.option("lineSep", args["lineterminator"])
     if args.get("comment"):
         reader = reader.option("comment", args["comment"])
     if args.get("skipinitialspace") or args.get("delim_whitespace"):
@@ -85,12 +90,12 @@ def _csv(spark: SparkSession, paths: list[str], sep: str | None, args: dict[str,
             c = F.col(name)
             df = df.withColumn(name, F.when(c.isin(*args.get("true_values", ["true"])), True).when(c.isin(*args.get("false_values", ["false"])), False))
         return df
-    # types are inferred from the first file and then hold for all of them
+    # types are inferred from the first file and then hold for all of them; a value that doesn't fit raises
     first = (listed(spark, paths[0]) or paths)[:1]
     inferred = _text_options(spark.read, sep, args).option("header", has_header).option("inferSchema", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]").option("preferDate", True).csv(first)
     kinds = [T.TimestampNTZType() if isinstance(f.dataType, T.TimestampType) else f.dataType for f in inferred.schema]
     columns = list(names) if names else inferred.columns
-    return reader.schema(T.StructType([T.StructField(n, k) for n, k in zip(columns, kinds, strict=True)])).csv(paths)
+    return reader.option("mode", "FAILFAST").schema(T.StructType([T.StructField(n, k) for n, k in zip(columns, kinds, strict=True)])).csv(paths)
 
 
 def _json(spark: SparkSession, paths: list[str], args: dict[str, Any], base: str | None) -> DataFrame:
@@ -101,7 +106,8 @@ def _json(spark: SparkSession, paths: list[str], args: dict[str, Any], base: str
     if isinstance(dtypes, dict):
         names = names or list(dtypes)
     schema = struct_of(names, dtypes) if names and dtypes is not None and not isinstance(dtypes, bool) else None
-    if schema is None:  # the first file's schema holds for all
+    if schema is None:  # the first file's schema holds for all; a value that doesn't fit raises
+        reader = reader.option("mode", "FAILFAST")
         first = (listed(spark, paths[0]) or paths)[:1]
         schema = spark.read.option("multiLine", not args.get("lines", True)).json(first).schema
     return reader.schema(schema).json(paths)

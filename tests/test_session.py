@@ -10,7 +10,7 @@ import pytest
 
 from lumenframe import Session
 from lumenframe.plans.explain import count_nodes, pushed_filters, read_columns
-from lumenframe.plans.options import spark_settings
+from lumenframe.plans.options import PLANNING, spark_settings
 from lumenframe.sources import SourceError
 from lumenframe.sources.databases import jdbc_options
 from lumenframe.sources.filesystems import describe
@@ -113,6 +113,88 @@ def test_explain_and_options(s):
     assert spark_settings({"EXECUTOR_THREADS": 4, "JOIN_PARTITION_SIZE_THRESHOLD": 7}) == {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "7"}
 
 
+def test_the_callers_settings_stay(spark, monkeypatch):
+    before = {k: spark.conf.get(k) for k in PLANNING}
+    monkeypatch.setenv("LUMENFRAME_JOIN_PARTITION_SIZE_THRESHOLD", "9")
+    own = Session(spark)
+    own.create_table("settings_t", pa.table({"a": [1]}))
+    assert own.sql("SELECT a / 0 AS x, CAST('no' AS INT) AS y, a % 0 AS z FROM settings_t").collect()[0].asDict() == {"x": None, "y": None, "z": None}
+    assert {k: spark.conf.get(k) for k in PLANNING} == before and own._settings["spark.sql.adaptive.advisoryPartitionSizeInBytes"] == "9"
+
+
+def test_results_are_fetched_from_the_shared_folder(s):
+    token = s.sql("SELECT 1 AS a, 2 AS a, NULL AS n, INTERVAL '1' DAY AS i", return_token=True)
+    got = s.fetch(token)
+    assert got.columns == ["a", "a", "n", "i"] and tuple(got.collect()[0])[:3] == (1, 2, None)
+    s.release(token)
+    with pytest.raises(KeyError):
+        s.fetch(token)
+
+
+@pytest.mark.parametrize(
+    ("query", "want"),
+    [
+        ("SELECT to_date('03/02/2001', '%d/%m/%Y') AS v", datetime.date(2001, 2, 3)),
+        ("SELECT TO_DATE ( 'no' , '%Y-%m-%d' ) AS v", None),
+        ("SELECT to_date('2001-02-03', 'yyyy-MM-dd') AS v", datetime.date(2001, 2, 3)),
+        ("SELECT TO_TIMESTAMP('2001-02-03 04:05:06', '%Y-%m-%d %H:%M:%S') AS v", datetime.datetime(2001, 2, 3, 4, 5, 6)),
+        (r"SELECT regexp_replace('ab12', '([a-z]+)(\d+)', '\2-\1') AS v", "12-ab"),
+        (r"SELECT regexp_replace('aXaX', 'X', '$', 3) AS v", "aXa$"),
+        (r"SELECT '%Y \\ to_date(x, ''%Y'')' AS v -- regexp_replace('a', '\w', '\1')", r"%Y \ to_date(x, '%Y')"),
+        ("SELECT concat(to_date('2001', '%Y'), regexp_replace(concat('a', 'b'), 'b', 'c''d')) AS v", "2001-01-01ac'd"),
+    ],
+)
+def test_sql_dialect(s, query, want):
+    assert s.sql(query).collect()[0].v == want
+
+
+def test_database_reads(s, spark, tmp_path, monkeypatch):
+    import lumenframe.sources.databases as databases
+
+    url = f"jdbc:derby:memory:lumen{tmp_path.name};create=true"
+    rows = spark.range(40).selectExpr("CAST(id AS INT) AS ID", "CAST(id * 2 AS DOUBLE) AS V")
+    rows.write.format("jdbc").options(url=url, dbtable="nums", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
+    whole = databases.jdbc_options
+
+    def derby(engine, table, args):
+        return {k: v for k, v in whole(engine, table, args).items()} | {"url": url, "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+    monkeypatch.setattr(databases, "jdbc_options", derby)
+    s.create_table("nums", "nums", from_sql="sqlite", database="x", table_filter="ID >= 10")
+    got = s.sql("SELECT count(*) AS n, min(id) AS low FROM nums WHERE v > 30")
+    assert tuple(got.collect()[0]) == (24, 16)
+    plain = s.sql("SELECT id FROM nums WHERE v > 30.0")
+    assert "GreaterThan(V,30.0)" in pushed_filters(plain)[0] and sorted(r[0] for r in plain.collect()) == list(range(16, 40))
+    split = s.create_table("parts", "nums", from_sql="sqlite", database="x", partition_column="ID", lower_bound=0, upper_bound=40, num_partitions=4)
+    assert split.frame.rdd.getNumPartitions() == 4 and split.frame.count() == 40
+
+
+def test_catalog_tables(s, spark):
+    spark.sql("DROP TABLE IF EXISTS held")
+    spark.range(6).selectExpr("id", "id % 2 AS p").write.partitionBy("p").saveAsTable("held")
+    s.create_table("h", "hive", hive_table_name="held")
+    assert s.sql("SELECT sum(id) AS t FROM h WHERE p = 1").collect()[0].t == 9 and s.describe_table("h") == {"id": "bigint", "p": "bigint"}
+    with pytest.raises(SourceError):
+        s.create_table("h", "hive", hive_table_name="nothing_here")
+    spark.sql("DROP TABLE held")
+
+
+def test_text_files_and_their_options(s, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n1,"x ""y"" z"\n')
+    assert s.create_table("a", str(tmp_path / "a.csv")).frame.collect()[0].b == 'x "y" z'
+    (tmp_path / "q.csv").write_text('a,b\n1,"x\n')
+    assert s.create_table("q", str(tmp_path / "q.csv"), quoting=3).frame.collect()[0].b == '"x'
+    (tmp_path / "l.csv").write_text("a;1|a;2")
+    assert [r.n for r in s.create_table("l", str(tmp_path / "l.csv"), delimiter=";", lineterminator="|", names=["k", "n"], dtype=["str", "int64"]).frame.collect()] == [1, 2]
+    with pytest.warns(UserWarning, match="byte_range_size"):
+        s.create_table("a", str(tmp_path / "a.csv"), byte_range_size=10)
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "0.csv").write_text("n\n1\n")
+    (tmp_path / "w" / "1.csv").write_text("n\nword\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|FAILED_READ"):
+        s.create_table("w", str(tmp_path / "w"), file_format="csv").frame.collect()
+
+
 def test_memory_calls(s):
     assert all(v > 0 for v in s.get_free_memory().values()) and all(v >= 0 for v in s.get_max_memory_used().values())
     s.reset_max_memory_used()
