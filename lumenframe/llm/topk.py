@@ -6,8 +6,8 @@ the lists of a row stand in different tasks and none sees a whole score.
 Queries are cut the same way, and each task holds one block of rows against one
 block of queries in one slice.
 
-1.  Gather: every list reports its DEEP * k best rows for each query.  The scores of
-    as many best of each list are resolved exactly; the k-th best of them is a
+1.  Gather: every block of a list reports its k best rows for each query.  The
+    scores of the DEEP * k best of these are resolved exactly; the k-th best of them is a
     safe cutoff, as at least k rows reach it.
 2.  Collect: the cutoffs go to the tasks with the blocks of queries.  A row
     that reaches the cutoff has its even share of it in some list, so each list
@@ -220,7 +220,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         return scored.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s")))).where(F.col("n") == k).select("q", F.col("s").alias("cutoff"))
 
     # 1: the best of each list, and the cutoff that their scores give
-    best = _mapped(pairs(put), best_of_list(DEEP * k)).withColumn("n", F.row_number().over(Window.partitionBy("q", "list").orderBy(F.desc("s"), "r"))).where(F.col("n") <= DEEP * k)
+    best = _mapped(pairs(put), best_of_list(k)).withColumn("n", F.row_number().over(Window.partitionBy("q", "list").orderBy(F.desc("s"), "r"))).where(F.col("n") <= DEEP * k)
     lists = F.explode(F.sequence(F.lit(0), F.lit(LISTS - 1))).alias("list")
     cuts, _ = materialize(kth(totals(resolved(best.select("q", "r").distinct().select("q", "r", lists)))), "cutoffs")
     # 2: what reaches the even share of the cutoff in some list
