@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _LOCAL: dict[str, str] = {}
+_SCOPES = threading.local()
 BATCH_BYTES = "8m"
 #: A side whose bytes, counted beforehand, are at most this is broadcast; beyond it, joins are shuffled.
 BROADCAST_BYTES = 24 << 20
@@ -41,7 +44,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder, below one folder for each application."""
-    return f"{shared_dir(spark)}/lumenframe/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lumenframe/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    for held in getattr(_SCOPES, "open", []):
+        held.add(path)
+    return path
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[set[str]]:
+    """What is written within is deleted at the end, but for paths that are taken out of the set."""
+    _SCOPES.open = [*getattr(_SCOPES, "open", []), held := set()]
+    try:
+        yield held
+    finally:
+        _SCOPES.open = _SCOPES.open[:-1]
+        for path in held:
+            remove(spark, path)
 
 
 def clear(spark: SparkSession) -> None:

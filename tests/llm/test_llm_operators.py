@@ -77,6 +77,15 @@ def test_quality_chunks_agree_with_plain_convolution():
         blocks = [act[i : i + quality.BLOCK].max(axis=0) for i in range(0, len(act), quality.BLOCK)]
         pooled = [np.maximum(x, y) for x, y in itertools.pairwise(blocks)] if len(blocks) > 1 else blocks
         assert np.allclose(model.pooled(data), np.tanh(np.array(pooled) + model.bias), atol=1e-4)
+    for text in (*ODD, prose(3, 700)):  # the whole score, from plain loops
+        data = (text or "").encode("utf-8", "replace")
+        b = np.frombuffer(data + bytes(max(0, quality.WIDTH - len(data))), dtype=np.uint8)
+        act = np.array([sum(model.table[j, b[i + j]] for j in range(quality.WIDTH)) for i in range(len(b) - quality.WIDTH + 1)])
+        blocks = [act[i : i + quality.BLOCK].max(axis=0) for i in range(0, len(act), quality.BLOCK)]
+        a = np.tanh(np.array([np.maximum(x, y) for x, y in itertools.pairwise(blocks)] if len(blocks) > 1 else blocks) + model.bias)
+        short = max(0.0, 1 - len(data) / (2 * quality.BLOCK))
+        z = np.concatenate([a.mean(axis=0), a.max(axis=0), a.min(axis=0), [short], short * a.mean(axis=0)])
+        assert model.score([text])[0] == pytest.approx(1 / (1 + np.exp(-(z @ model.head + model.intercept))), abs=1e-3)
 
 
 def test_quality_without_labels(spark):
@@ -181,6 +190,20 @@ def test_shards_of_nothing_and_of_repeated_ids(spark):
     assert [r.doc_id for r in rows] == [None, 5, 5] and sum(r.n_tokens for r in rows) == rows[-1].start + rows[-1].n_tokens
 
 
+def test_padding_is_little():
+    rng, packer = np.random.default_rng(4), packing.Packer(0)
+    for i, n in enumerate(np.minimum(rng.lognormal(6, 1.2, 3_000).astype(int) + 1, 60_000)):
+        packer.add(i, np.zeros(n, dtype="<u4"))
+    packer.flush()
+    rows = packer.take()
+    used, windows = sum(r[2] for r in rows), packer.next_id
+    assert windows > 400 and used / (windows * packing.CAPACITY) > 0.98
+    fill = {}
+    for r in rows:
+        fill[r[5]] = fill.get(r[5], 0) + r[2]
+    assert max(fill.values()) <= packing.CAPACITY and len(fill) == windows
+
+
 def test_packing(spark):
     texts = [*ODD, *[prose(i, 30 + 37 * i) for i in range(60)]]
     raw = read_tokenizer(tokenizer_path("byte_bpe_50k.json"))
@@ -716,6 +739,51 @@ def test_language(spark):
     assert none.classify("the and of") == ("und", 0.0, False, 0.0)
 
 
+class NaiveMatcher:
+    """The lexicon by edit distance alone, a term at a time."""
+
+    def __init__(self, terms):
+        self.terms = [(t.rstrip("*") if stem else t, stem) for t, (_, stem) in terms.items()]
+        self.known = {}
+
+    def match(self, word):
+        if word not in self.known:
+            best = None
+            for letters, stem in self.terms:
+                allowed, n = 1 if len(letters) >= (8 if stem else 5) else 0, len(letters)
+                heads = {word[:k] for k in range(n - 1, n + 2)} if stem else {word} if abs(len(word) - n) <= 1 else set()
+                for head in heads:
+                    e = 0 if head == letters else distance(head, letters) if allowed else 9
+                    if e <= allowed and (best is None or e < best):
+                        best = e
+            self.known[word] = best
+        return self.known[word]
+
+
+def brute_hits(model, text, matcher):
+    found = [matcher.match(m.group()) for m in toxicity.WORD.finditer((text or "").lower())]
+    words = [m.group() for m in toxicity.WORD.finditer((text or "").lower())]
+    found = [None if e and w in model.plain else e for w, e in zip(words, found, strict=True)]
+    return sum(e is not None for e in found), sum(bool(e) for e in found)
+
+
+def brute_language(model, text):
+    """Names, the best first, by compressing all chunks with fresh dictionaries."""
+    import zstandard
+
+    if text is None or not any(c.isalpha() for c in text):
+        return None
+    data, sizes = language.letters(text), {}
+    for name, d in model.dictionaries.items():
+        params = zstandard.ZstdCompressionParameters.from_level(model.level, write_content_size=False, write_checksum=False, write_dict_id=False)
+        made = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        made.precompute_compress(level=model.level)
+        c = zstandard.ZstdCompressor(dict_data=made, compression_params=params)
+        sizes[name] = max(1, sum(len(c.compress(data[i : i + model.chunk])) - 9 for i in range(0, len(data), model.chunk)))
+    order = sorted(sizes, key=lambda k: (sizes[k], k))
+    return order[0], len(order) < 2 or (sizes[order[1]] - sizes[order[0]]) / sizes[order[1]] >= model.min_margin
+
+
 # contracts of the queries and the pipeline
 
 SMALL = "/root/testdata/sf0.001"
@@ -731,6 +799,15 @@ def test_pipeline_stages_against_brute_force(spark):
         assert out.columns == docs.columns, name
         after = {r.doc_id: r for r in out.collect()}
         assert after.keys() <= before.keys() and len(after) == out.count()
+        if name == "toxicity":
+            model = toxicity.train(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+            matcher, scored = NaiveMatcher(model.terms), model.score([r.text for r in before.values()])
+            for (i, r), got in zip(before.items(), scored.itertuples(), strict=True):
+                assert (got.hits, got.fuzzy_hits) == brute_hits(model, r.text, matcher) and (i in after) == (got.score < 0.3)
+        if name == "language":
+            model = language.train(spark.read.parquet(f"{SMALL}/documents.parquet"))
+            want = {i: brute_language(model, r.text) for i, r in before.items()}
+            assert set(after) == {i for i, x in want.items() if x and x[1]} and all(x is None or model.classify(before[i].text)[0] == x[0] for i, x in want.items())
         if name == "line_dedup":
             order = sorted(before)
             want = dict(zip(order, brute_lines([before[i].text for i in order]), strict=True))
@@ -745,6 +822,8 @@ def test_pipeline_stages_against_brute_force(spark):
     for i, pieces in itertools.groupby(sorted(rows, key=lambda r: (r.doc_id, r.start)), key=lambda r: r.doc_id):
         pieces = list(pieces)
         assert sum(p.length for p in pieces) == pieces[0].doc_tokens, i
+    whole = pipeline.run(spark, SMALL).collect()
+    assert {(r.doc_id, r.doc_tokens) for r in whole} == {(r.doc_id, r.doc_tokens) for r in rows} and sum(r.length for r in whole) == sum(r.length for r in rows)
 
 
 @pytest.mark.skipif(not Path(SMALL).exists(), reason="no test tables")
