@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenframe.llm import language, linededup, packing, simhash, toxicity
-from lumenframe.llm.common import materialize, table
+from lumenframe.llm.common import materialize, remove, table, temporary
 from lumenframe.llm.encoding import read_tokenizer
 from lumenframe.llm.queries import END_ID, tokenizer_path
 
@@ -49,7 +49,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents, each to what the one before wrote."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = materialize(stage(spark, docs, sf_dir), name)
+        with temporary(spark) as written:  # what the stage needed goes once its result is there
+            docs, path = materialize(stage(spark, docs, sf_dir), name)
+            written.discard(path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
