@@ -254,11 +254,11 @@ def worth(in_pos: dict[str, int], in_neg: dict[str, int], n_pos: int, n_neg: int
     return value
 
 
-def choose_terms(value: dict[str, float], in_neg: dict[str, int], sets: list[set[str]], min_support: int = MIN_SUPPORT, stem_sizes=STEM_SIZES) -> dict[str, tuple[float, bool]]:
+def choose_terms(value: dict[str, float], in_neg: dict[str, int], sets: list[set[str]], min_support: int = MIN_SUPPORT, stem_sizes=STEM_SIZES, cover: int = 2) -> dict[str, tuple[float, bool]]:
     """Terms among those of ``value``; ``sets`` holds what each positive document has of them.
 
-    Chosen greedily by how many positives they add that no chosen term covers
-    yet, so a word that only travels with toxic terms isn't taken; a term of
+    Chosen greedily by how many positives they add that fewer than ``cover`` chosen
+    terms cover yet, so a word that only travels with toxic terms isn't taken; a term of
     many positives (one in 20) and no negative always is.  The words that stand
     out behind a chosen stem are terms as well, as a stem of few letters takes
     no error and a word does.
@@ -271,7 +271,7 @@ def choose_terms(value: dict[str, float], in_neg: dict[str, int], sets: list[set
     covered = np.zeros(len(sets), dtype=int)
     # the more documents the sooner; of equal ones the longer stem, then the word, so that the term isn't too wide
     for g in sorted(value, key=lambda g: (-len(where[g]), not g.endswith("*"), -len(g), g)):
-        new = sum(covered[i] < 4 for i in where[g])
+        new = sum(covered[i] < cover for i in where[g])
         often = not in_neg.get(g) and len(where[g]) >= max(min_support, 0.05 * len(sets))  # many positives, no negative: not by chance
         if new >= max(min_support, 0.2 * len(where[g])) or often:
             stem = g.endswith("*")
