@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import by_list, materialize, tidy
+from lumenframe.llm.common import by_list, materialize, small, tidy
 
 BANDS, ROWS, LIST, WIDE_BITS, PIVOTS = 16, 4, 512, 256, 16
 _RNG = np.random.default_rng(20)
@@ -243,7 +243,8 @@ def further_pairs(reps: DataFrame, lists: DataFrame, roots: DataFrame, sets: Dat
 def shingle_sets(wanted: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """rep, s (32-bit hashes of the shingles, sorted) of the documents in ``wanted`` (w); ``rows``: id, h, rep."""
     one = rows.join(wanted, F.col("rep") == F.col("w"), "left_semi").groupBy("rep").agg(F.min(F.struct("id", "h")).alias("x")).select(F.col("x.id").alias("i"), F.col("x.h").alias("x")).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(one, (F.col("id") == F.col("i")) & (F.xxhash64("text") == F.col("x")), "left_semi")
+    one, _ = materialize(one, "wanted-texts")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small(one), (F.col("id") == F.col("i")) & (F.xxhash64("text") == F.col("x")), "left_semi")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

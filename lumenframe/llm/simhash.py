@@ -218,8 +218,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     found = _by_fingerprint(docs, id_col, text_col, words, max_bits).where("id is not null") if similarity is None else _by_similarity(docs, id_col, text_col, words, similarity)
     found, _ = materialize(found.groupBy("node", "id", "h").agg(F.count("*").alias("n")), "groups")
-    first = found.groupBy("node").agg(F.min(F.struct("id", "h")).alias("first"))
-    marked = found.join(first, "node").withColumn("stays", F.struct("id", "h") == F.col("first"))
+    # written, so that the planner can split the join where one group holds very many rows; groups of one row need none
+    first, _ = materialize(found.groupBy("node").agg(F.min(F.struct("id", "h")).alias("first"), F.sum("n").alias("all")).where("all > 1").drop("all"), "groups-first")
+    marked = found.join(small(first), "node").withColumn("stays", F.struct("id", "h") == F.col("first"))
     marked, _ = materialize(marked.where("not stays or n > 1").select(F.col("id").alias("__lf_id"), F.col("h").alias("__lf_h"), "stays"), "groups-marked")
     same = (F.col(id_col) == F.col("__lf_id")) & (F.xxhash64(text_col) == F.col("__lf_h"))
     kept = docs.join(small(marked.where("not stays").drop("stays")), same, "left_anti")
