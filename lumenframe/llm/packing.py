@@ -13,8 +13,10 @@ Bundles are made within a scan partition: nothing is shuffled, memory is
 bounded by a bundle and a document, and the last bundle of a partition is the
 only one that may be smaller.
 
-Defined cases: a null or empty text is its end id; repeated rows are packed
-each; an empty table gives no pieces.
+Defined cases: a null or empty text is its end id; repeated rows and ids are
+packed each; texts of any length are packed whole; pieces of equal size go by
+their order in the bundle; an empty table gives no pieces; other columns,
+whatever their names, take no part.
 """
 
 from __future__ import annotations

@@ -13,8 +13,10 @@ Layout::
     entry: varint shared, varint unshared, varint value length, key rest, value
 
 Defined cases: a null text is empty (its value is the end id alone); a null id
-sorts first; rows with equal ids are all kept, by text; an empty table writes
-no shard and reads back as no rows.
+sorts first; rows with equal ids are all kept, by a hash of the text, then by
+the text; rows that are equal in both stand in one shard; texts of any length
+are one entry; an empty table writes no shard and reads back as no rows; other
+columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -263,7 +265,7 @@ def write_shards(docs: DataFrame, tokenizer_json: bytes, end_id: int, id_col: st
     return materialize(sorted_docs.mapInArrow(tidy(write), MANIFEST), "manifest")[0]
 
 
-def read_shards(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
+def read_shards(manifest: DataFrame, id_type: str = "bigint", id_col: str = "doc_id") -> DataFrame:
     """Every document of the shards: id, start, n_tokens, ids_crc32.
 
     ``start`` counts the ids of all documents before it, over all shards; only
@@ -292,10 +294,10 @@ def read_shards(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
 
     def _rows(rows: list[tuple]) -> pa.RecordBatch:
         a, s, n_, c = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(s, pa.int64()), pa.array(n_, pa.int64()), pa.array(c, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(s, pa.int64()), pa.array(n_, pa.int64()), pa.array(c, pa.int64())], [id_col, "start", "n_tokens", "ids_crc32"])
 
     kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-    return based.repartitionByRange(n, "shard").mapInArrow(tidy(read), f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
+    return based.repartitionByRange(n, "shard").mapInArrow(tidy(read), f"`{id_col}` {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(manifest_row_path: str, ident) -> list[np.ndarray]:
