@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import fold, small, tidy
+from lumenframe.llm.common import fold, materialize, small, tidy
 
 RESULT_TYPE = "lang_pred string, score double, accepted boolean, margin double"
 WORD = re.compile(r"[^\W\d_]+")
@@ -96,7 +96,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~fold("id", n, held)
     )
     last = F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / PIECE_CHARS).cast("int")
-    size = rows.groupBy("lang").agg(F.sum(last + 1).alias("pieces"))
+    size, _ = materialize(rows.groupBy("lang").agg(F.sum(last + 1).alias("pieces")), "pieces-of-languages")
     # a hash thins the pieces of each language to a few times the sample before the ranks are given
     places = rows.select("lang", "id", F.xxhash64("text").alias("h"), F.explode(F.sequence(F.lit(0), last)).alias("no")).join(small(size), "lang")
     places = places.where(F.pmod(F.xxhash64("id", "no"), F.lit(1_000_000)) * F.col("pieces") <= F.lit(4_000_000 * TRAIN_PIECES))
@@ -104,6 +104,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     w = Window.partitionBy("lang").orderBy(F.xxhash64("id", "no"), "id", "no", "h")
     few = places.select("lang", "id", "h", "no").distinct().withColumn("k", F.row_number().over(w)).where(F.col("k") <= TRAIN_PIECES)
     few = few.select(F.col("lang").alias("l"), F.col("id").alias("i"), F.col("h").alias("x"), "no", "k")
+    few, _ = materialize(few, "pieces-chosen")
     same = (F.col("lang") == F.col("l")) & F.col("id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("x"))
     piece = F.substring("text", F.col("no") * PIECE_CHARS + 1, F.lit(PIECE_CHARS))
     got = rows.join(small(few), same).select("lang", "k", piece.alias("piece")).groupBy("lang", "k").agg(F.min("piece").alias("piece")).collect()
