@@ -240,9 +240,9 @@ def further_pairs(reps: DataFrame, lists: DataFrame, roots: DataFrame, sets: Dat
     return ordered(by_list(held.select("g", "rep", "wide", "part", "s"), run, "a binary, b binary"))
 
 
-def shingle_sets(wanted: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """rep, s (32-bit hashes of the shingles, sorted) of the documents in ``wanted`` (w); ``rows``: id, h, rep."""
-    one = rows.join(wanted, F.col("rep") == F.col("w"), "left_semi").groupBy("rep").agg(F.min(F.struct("id", "h")).alias("x")).select(F.col("x.id").alias("i"), F.col("x.h").alias("x")).distinct()
+def shingle_sets(wanted: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """rep, s (32-bit hashes of the shingles, sorted) of the documents in ``wanted`` (w); ``reps``: rep and a row of it, row (id, h)."""
+    one = reps.join(wanted, F.col("rep") == F.col("w"), "left_semi").select(F.col("row.id").alias("i"), F.col("row.h").alias("x"))
     one, _ = materialize(one, "wanted-texts")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small(one), (F.col("id") == F.col("i")) & (F.xxhash64("text") == F.col("x")), "left_semi")
 

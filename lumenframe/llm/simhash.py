@@ -190,11 +190,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def _by_similarity(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
     """id, h, node (what rows of one component share), of rows with an id."""
     rows, _ = materialize(nearcopies.sketches(docs, id_col, text_col, words).where("id is not null"), "sketches")
-    reps, _ = materialize(rows.groupBy("rep").agg(F.any_value("wide").alias("wide"), F.any_value("keys").alias("keys")), "distinct-texts")
+    reps, _ = materialize(rows.groupBy("rep").agg(F.any_value("wide").alias("wide"), F.any_value("keys").alias("keys"), F.min(F.struct("id", "h")).alias("row")), "distinct-texts")
     lists = nearcopies.band_lists(reps)
     pairs, _ = materialize(nearcopies.close_pairs(reps, lists), "close-pairs")
     wanted = pairs.select(F.col("a").alias("w")).unionAll(pairs.select("b")).distinct()
-    sets = nearcopies.shingle_sets(wanted, rows.select("id", "h", "rep"), docs, id_col, text_col, words)
+    sets = nearcopies.shingle_sets(wanted, reps, docs, id_col, text_col, words)
     linked, _ = materialize(nearcopies.verified(pairs, sets, similarity), "links")
     roots, _ = materialize(components(linked), "roots")
     more, _ = materialize(nearcopies.further_pairs(reps, lists, roots, sets, similarity), "further-links")

@@ -428,11 +428,11 @@ def test_long_lists_are_dealt_in_blocks_without_loss(spark):
     want = brute_components(list(range(90)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9)
     docs = docs_of(spark, texts)
     rows = nearcopies.sketches(docs, "doc_id", "text", 5).cache()
-    reps = rows.select("rep", "wide", "keys")
+    reps = rows.select("rep", "wide", "keys", F.struct("id", "h").alias("row"))
     lists = nearcopies.band_lists(reps)
     pairs = nearcopies.close_pairs(reps, lists, 16)
     wanted = reps.select(F.col("rep").alias("w"))
-    s = nearcopies.shingle_sets(wanted, rows, docs, "doc_id", "text", 5)
+    s = nearcopies.shingle_sets(wanted, reps, docs, "doc_id", "text", 5)
     linked = nearcopies.verified(pairs, s, 0.8)
     more = nearcopies.further_pairs(reps, lists, components.components(linked), s, 0.8, 16)
     got = {r.node: r.root for r in components.few_components(components.components(linked).select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)).collect()}
