@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 _LOCAL: dict[str, str] = {}
 _SCOPES = threading.local()
-BATCH_BYTES = "8m"
+BATCH_BYTES = "2m"
 #: A side whose bytes, counted beforehand, are at most this is broadcast; beyond it, joins are shuffled.
 BROADCAST_BYTES = 24 << 20
 
