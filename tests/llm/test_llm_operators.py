@@ -344,6 +344,33 @@ def test_top_k_cases(spark):
     assert topk.top_k(df.limit(0), df, 5).count() == 0 and topk.top_k(df, df.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("shift", [0.0, 2.0, -2.0])
+def test_top_k_in_rounds(spark, monkeypatch, shift):
+    monkeypatch.setattr(topk, "ROW_BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    v = np.random.default_rng(8).normal(0, 0.3, (500, 8))
+    v[:, :4] += shift  # one list holds most of a score
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 50 = 0"), 5).collect())
+    assert got == brute_top(rows, [r for r in rows if r[0] % 50 == 0], 5)
+
+
+def test_top_k_shuffles_no_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROW_BLOCK", 8)
+    v = np.random.default_rng(9).normal(0, 0.125, (4096, 64))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<float>")
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        them = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(them.apply(i).totalShuffleWrite() for i in range(them.size()))
+
+    before = shuffled()
+    assert topk.top_k(df, df.where("vec_id % 16 = 0"), 5).count() == 256 * 5
+    assert shuffled() - before < 16 * v.size * 4
+
+
 # 5 SimHash
 
 
