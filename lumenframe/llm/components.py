@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +48,11 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
 
 
 def few_components(edges: DataFrame) -> DataFrame:
-    """As ``components``, in the driver: for edges counted to be few."""
+    """As ``components``, in the driver: for edges counted to be few.
+
+    The result is an Arrow table, as rows of Python objects would be read by Python workers of another kind,
+    which stay on every executor beside those at hand.
+    """
     root: dict = {}
 
     def of(x):
@@ -56,8 +61,10 @@ def few_components(edges: DataFrame) -> DataFrame:
             x = root[x]
         return x
 
-    for a, b in edges.select("a", "b").collect():
+    pairs = edges.select("a", "b").toArrow()
+    for a, b in zip(*(c.to_pylist() for c in pairs.columns), strict=True):
         a, b = of(a), of(b)
         root[max(a, b)] = min(a, b)
-    kind = edges.schema["a"].dataType.simpleString()
-    return edges.sparkSession.createDataFrame([(x, of(x)) for x in root], f"node {kind}, root {kind}")
+    kind, of_kind = edges.schema["a"].dataType.simpleString(), pairs.schema.field("a").type
+    found = pa.table({"node": pa.array(list(root), of_kind), "root": pa.array([of(x) for x in root], of_kind)})
+    return edges.sparkSession.createDataFrame(found, f"node {kind}, root {kind}")

@@ -336,14 +336,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     size = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = size.get(1, 0), size.get(0, 0)
 
-    def over(make, out: str) -> DataFrame:
+    def over(make, out: str, rows: DataFrame = rows) -> DataFrame:
         """One list for each document, made from its text."""
 
         @F.pandas_udf(out)
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             yield from tidy(lambda rest: (pd.Series([make(t) for t in s]) for s in rest))(batches)
 
-        return rows.select("id", "label", run("text").alias("x"))
+        # else the planner, which filters empty lists before explode, makes each list twice, in two workers for each task
+        return rows.select("id", "label", run.asNondeterministic()("text").alias("x"))
 
     def tally(lists: DataFrame, least: int) -> tuple[dict[str, int], dict[str, int]]:
         counts = lists.select("label", F.explode("x").alias("g")).groupBy("g").agg(F.sum("label").alias("p"), F.count("*").alias("n"))
@@ -354,7 +355,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if n_pos and n_neg:
         in_pos, in_neg = tally(over(lambda t: list(grams(t)), "array<string>"), MIN_SUPPORT)
         value = worth(in_pos, in_neg, n_pos, n_neg)
-        held = over(lambda t: [g for g in grams(t) if g in value], "array<string>").where("label = 1").orderBy("id")
+        held = over(lambda t: [g for g in grams(t) if g in value], "array<string>", rows.where("label = 1")).orderBy("id")
         model.terms = choose_terms(value, in_neg, [set(r.x) for r in held.select("x").collect()])
         if model.terms:
             model.plain = plain_words(*tally(over(lambda t: list(model.near_words(t)), "array<string>"), 0), n_pos, n_neg)

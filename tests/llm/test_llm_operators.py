@@ -543,6 +543,15 @@ def test_components_dont_end_unfinished(spark):
         components.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), most_rounds=1)
 
 
+@pytest.mark.parametrize("kind, at", [("bigint", int), ("binary", lambda i: b"%02d" % i), ("string", str)])
+def test_few_components_take_no_python_worker(spark, kind, at):
+    edges = spark.createDataFrame([(at(i), at(i + 1)) for i in range(10, 20)] + [(at(40), at(30))], f"a {kind}, b {kind}")
+    got = components.few_components(edges)
+    assert {r.node: r.root for r in got.collect()} == {at(i): at(10) for i in range(10, 21)} | {at(30): at(30), at(40): at(30)}
+    assert "PythonRDD" not in got._jdf.queryExecution().toRdd().toDebugString() and got.dtypes == [("node", kind), ("root", kind)]
+    assert components.few_components(edges.limit(0)).collect() == []
+
+
 # 7 SentencePiece
 
 
@@ -677,6 +686,16 @@ def test_toxicity_learns_and_tells_quotation_from_abuse(spark):
     assert max(empty.score(pos[:3]).score) < 0.3 and toxicity.reject_toxic(docs_of(spark, []), model).count() == 0
 
 
+def test_toxicity_takes_one_python_worker_a_task(spark, monkeypatch):
+    docs = docs_of(spark, [prose(i, 20) + " filthyword" * (i < 60) for i in range(120)])
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, toxic int")
+    frame, plans = type(docs), []
+    monkeypatch.setattr(frame, "collect", lambda self, f=frame.collect: plans.append(self._jdf.queryExecution().executedPlan().toString()) or f(self))
+    assert toxicity.train(docs, labels).terms
+    # counts of words, of words that match by errors only, lists of positives and features, each made once
+    assert [n for p in plans if (n := p.count("ArrowEvalPython"))] == [1, 1, 1, 1]
+
+
 def test_learned_stems_leave_their_words_their_edits():
     docs = [(prose(i, 20) + (" what an idiot" if i % 2 else " such a loser and losers"), 1) for i in range(60)] + [(prose(i + 1000, 40), 0) for i in range(60)]
     model = toxicity.fit(docs)
